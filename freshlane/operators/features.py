@@ -73,6 +73,7 @@ def add_rolling(df: DataFrame) -> DataFrame:
         "waste_rolling_7d_rate": F.coalesce(X.safe_div(wsum7, s7), F.lit(0.0)),
         "revenue_rolling_7d": F.sum("revenue").over(w7).cast("double"),
         "sales_rolling_7d_median": F.percentile("quantity_sold", 0.5).over(w7),
+        "_s7": s7, "_n7": F.count("quantity_sold").over(w7),
     })
 
 
@@ -108,7 +109,9 @@ def add_derived(df: DataFrame) -> DataFrame:
     shelf = F.col("shelf_life_days")
     return df.withColumns({
         "days_since_last_promo": F.coalesce(F.datediff("date", last_promo), F.lit(999)).cast("int"),
-        "stock_to_sales_ratio": F.coalesce(X.safe_div("quantity_on_hand", "sales_rolling_7d_mean"), F.lit(0.0)),
+        # on_hand / mean7 as one integer quotient (on_hand * n7 / sum7): correctly rounded
+        "stock_to_sales_ratio": F.coalesce(X.safe_div(F.col("quantity_on_hand") * F.col("_n7"), F.col("_s7")),
+                                           F.lit(0.0)),
         "days_until_expiry_norm": F.col("days_until_expiry").cast("double")
         / F.when(shelf == 0, F.lit(1)).otherwise(shelf).cast("double"),
     })
@@ -155,7 +158,8 @@ def build_features(sales: DataFrame, products: DataFrame, inventory: DataFrame,
           .transform(add_rolling)
           .transform(lambda d: add_product_features(d, products))
           .transform(lambda d: add_contextual(d, stores))
-          .transform(add_derived))
+          .transform(add_derived)
+          .drop("_s7", "_n7"))
     if fill:
         df = fill_missing(df, config)
     return df

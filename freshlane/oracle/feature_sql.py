@@ -31,6 +31,7 @@ fwin AS (
     avg(quantity_sold) OVER w28 AS sales_rolling_28d_mean,
     sum(units_wasted) OVER w7 AS wsum7,
     sum(quantity_sold) OVER w7 AS ssum7,
+    count(quantity_sold) OVER w7 AS n7,
     sum(revenue) OVER w7 AS rsum7,
     quantile_cont(quantity_sold, 0.5) OVER w7 AS sales_rolling_7d_median,
     last_value(CASE WHEN is_promotion THEN b.date END IGNORE NULLS) OVER wupto AS last_promo_date
@@ -80,8 +81,8 @@ fraw AS (
     CAST(CASE st.type WHEN 'urban' THEN 0 WHEN 'suburban' THEN 1 WHEN 'rural' THEN 2 END AS DOUBLE)
       AS store_type_encoded,
     CAST(coalesce(f.date - f.last_promo_date, 999) AS DOUBLE) AS days_since_last_promo,
-    CASE WHEN f.quantity_on_hand IS NULL OR f.sales_rolling_7d_mean IS NULL OR f.sales_rolling_7d_mean = 0
-         THEN 0.0 ELSE f.quantity_on_hand / f.sales_rolling_7d_mean END AS stock_to_sales_ratio,
+    CASE WHEN f.quantity_on_hand IS NULL OR f.ssum7 IS NULL OR f.ssum7 = 0
+         THEN 0.0 ELSE CAST(f.quantity_on_hand * f.n7 AS DOUBLE) / f.ssum7 END AS stock_to_sales_ratio,
     CAST(f.days_until_expiry AS DOUBLE)
       / CAST(CASE WHEN p.shelf_life_days = 0 THEN 1 ELSE p.shelf_life_days END AS DOUBLE) AS days_until_expiry_norm
   FROM fwin f

@@ -357,3 +357,296 @@ SQL.update({
                         AS status FROM rrank) t""", REC_CTES),
 }
 )
+
+
+# ---- evaluation -----------------------------------------------------------------------------------
+WEVAL = """
+wsplit_src AS (SELECT * FROM tsplit),
+weval AS (
+  SELECT f.store_id, f.product_id, f.date, f.quantity_sold, f.sales_lag_1d, f.sales_lag_7d,
+         CAST(CAST(least(1.0, f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS score,
+         l.waste_label AS label, s.split
+  FROM features f JOIN wlab l USING (store_id, product_id, date) JOIN tsplit s USING (store_id, product_id, date)
+),
+sc AS (SELECT split, score, sum(label) AS pos, sum(1 - label) AS neg FROM weval GROUP BY split, score)"""
+
+SQL.update({
+    "forecast_metrics": with_features("""
+        SELECT model_version, CAST(count(*) AS BIGINT) AS n,
+               round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
+               round(avg(abs(p - y)), 6) AS mae,
+               round(coalesce(avg(CASE WHEN y > 0 THEN abs(p - y) / y END), 0.0), 6) AS mape,
+               round(CASE WHEN sum(y) <> 0 THEN sum(abs(p - y)) / sum(y) ELSE 0.0 END, 6) AS wape,
+               round(1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2
+        FROM (SELECT model_version, CAST(actual_demand AS DOUBLE) AS y, CAST(predicted_demand AS DOUBLE) AS p
+              FROM predictions WHERE actual_demand IS NOT NULL AND predicted_demand IS NOT NULL) t
+        GROUP BY model_version""", PRED_CTES),
+    "business_cost": with_features("""
+        SELECT model_version,
+               round(CAST(sum(CASE WHEN e > 0 THEN e * cost_price ELSE 0 END) AS DOUBLE), 6) AS overforecast_cost,
+               round(CAST(sum(CASE WHEN e < 0 THEN -e * (unit_price - cost_price) ELSE 0 END) AS DOUBLE), 6)
+                 AS underforecast_cost,
+               round(CAST(sum(CASE WHEN e > 0 THEN e * cost_price ELSE 0 END)
+                          + sum(CASE WHEN e < 0 THEN -e * (unit_price - cost_price) ELSE 0 END) AS DOUBLE), 6)
+                 AS business_cost
+        FROM (SELECT q.model_version, q.predicted_demand - q.actual_demand AS e, p.unit_price, p.cost_price
+              FROM predictions q JOIN products p USING (product_id) WHERE q.actual_demand IS NOT NULL) t
+        GROUP BY model_version""", PRED_CTES),
+    "classifier_metrics": with_features("""
+        SELECT split, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+               CAST(tn AS BIGINT) AS tn,
+               round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+               round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+               round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1
+        FROM (SELECT split,
+                     sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp,
+                     sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp,
+                     sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn,
+                     sum(CASE WHEN score < 0.5 AND label = 0 THEN 1 ELSE 0 END) AS tn
+              FROM weval GROUP BY split) t""", SPLIT_CTES + "," + WEVAL),
+    "auc_roc": with_features("""
+        SELECT split, round(CASE WHEN P > 0 AND N > 0 THEN num / (P * N) ELSE 0.0 END, 6) AS auc_roc FROM (
+          SELECT split, sum(pos * prev_neg + pos * neg * 0.5) AS num, sum(pos) AS P, sum(neg) AS N FROM (
+            SELECT *, coalesce(sum(neg) OVER (PARTITION BY split ORDER BY score
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_neg
+            FROM sc) a GROUP BY split) b""", SPLIT_CTES + "," + WEVAL),
+    "average_precision": with_features("""
+        SELECT split, round(CASE WHEN P > 0 AND N > 0 THEN num / P ELSE 0.0 END, 6) AS average_precision FROM (
+          SELECT split, sum(pos * cp / (cp + cn)) AS num, sum(pos) AS P, sum(neg) AS N FROM (
+            SELECT *, sum(pos) OVER (PARTITION BY split ORDER BY score DESC
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+                      sum(neg) OVER (PARTITION BY split ORDER BY score DESC
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
+            FROM sc) a GROUP BY split) b""", SPLIT_CTES + "," + WEVAL),
+    "baseline_mape": with_features("""
+        SELECT split,
+               round(avg(CASE WHEN y > 0 AND l1 IS NOT NULL THEN abs(y - l1) / y END), 6) AS naive_lag1_mape,
+               round(avg(CASE WHEN y > 0 AND l7 IS NOT NULL THEN abs(y - l7) / y END), 6) AS naive_lag7_mape,
+               round(CASE WHEN count(*) FILTER (WHERE y > 0 AND l7 IS NOT NULL) > 0 THEN
+                     avg(CASE WHEN y > 0 AND coalesce(l1, l7) IS NOT NULL THEN
+                              abs(y - CASE WHEN l1 IS NULL THEN l7 WHEN l7 IS NULL THEN l1 ELSE (l1 + l7) / 2 END) / y
+                         END) END, 6) AS moving_avg_mape
+        FROM (SELECT split, CAST(quantity_sold AS DOUBLE) AS y, sales_lag_1d AS l1, sales_lag_7d AS l7 FROM weval) t
+        GROUP BY split""", SPLIT_CTES + "," + WEVAL),
+})
+
+# ---- drift / feedback ----------------------------------------------------------------------------------
+DRIFT_FEATURES = ["sales_lag_1d", "sales_lag_7d", "sales_rolling_7d_mean", "sales_rolling_7d_std",
+                  "waste_rolling_7d_rate", "temperature_avg", "promotion_discount", "stock_to_sales_ratio"]
+FS_TYPES = {"sales_lag_1d": "DECIMAL(10,2)", "sales_lag_7d": "DECIMAL(10,2)",
+            "sales_rolling_7d_mean": "DECIMAL(10,2)", "sales_rolling_7d_std": "DECIMAL(10,2)",
+            "waste_rolling_7d_rate": "DECIMAL(10,4)", "temperature_avg": "DECIMAL(4,1)",
+            "promotion_discount": "DECIMAL(4,2)", "stock_to_sales_ratio": "DECIMAL(10,4)"}
+
+DRIFT_CTES = SPLIT_CTES + """,
+dlong AS (
+  SELECT feature, sample, v FROM (
+    SELECT f.date, x.feature, CAST(x.v AS DOUBLE) AS v
+    FROM features f, LATERAL (VALUES """ + ", ".join(
+    f"('{c}', CAST(CAST(f.{c} AS {FS_TYPES[c]}) AS DOUBLE))" for c in DRIFT_FEATURES) + """) x(feature, v)
+  ) t
+  JOIN (SELECT 'train' AS sample UNION ALL SELECT 'recent') s
+    ON (s.sample = 'train' AND t.date < (SELECT c1 FROM scut))
+    OR (s.sample = 'recent' AND t.date >= (SELECT max(date) FROM features) - 7)
+  WHERE v IS NOT NULL
+),
+dstat AS (SELECT feature, min(v) AS lo, max(v) AS hi, count(*) FILTER (WHERE sample = 'train') AS n_e,
+                 count(*) FILTER (WHERE sample = 'recent') AS n_a FROM dlong GROUP BY feature),
+dbin AS (
+  SELECT l.feature, CAST(least(floor((l.v - s.lo) * 10 / (s.hi - s.lo)), 9) AS INTEGER) AS bin,
+         count(*) FILTER (WHERE sample = 'train') AS c_e, count(*) FILTER (WHERE sample = 'recent') AS c_a
+  FROM dlong l JOIN dstat s USING (feature) WHERE s.hi > s.lo GROUP BY 1, 2
+),
+dpsi AS (
+  SELECT s.feature, coalesce(sum(
+           (coalesce(b.c_a, 0) / s.n_a + 0.0001 - (coalesce(b.c_e, 0) / s.n_e + 0.0001))
+           * ln((coalesce(b.c_a, 0) / s.n_a + 0.0001) / (coalesce(b.c_e, 0) / s.n_e + 0.0001))), 0.0) AS psi
+  FROM dstat s LEFT JOIN (SELECT feature, unnest(range(0, 10)) AS bin FROM dstat WHERE hi > lo) g
+    ON g.feature = s.feature
+  LEFT JOIN dbin b ON b.feature = g.feature AND b.bin = g.bin
+  GROUP BY s.feature
+),
+dks0 AS (
+  SELECT feature, v, count(*) FILTER (WHERE sample = 'train') AS c1, count(*) FILTER (WHERE sample = 'recent') AS c2
+  FROM dlong GROUP BY feature, v
+),
+dks AS (
+  SELECT feature, d, n1, n2,
+         CASE WHEN d <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 2.0 * list_sum(list_transform(range(1, 101),
+              lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END
+                   * exp(-2.0 * k * k * (d * sqrt(n1 * n2 / (n1 + n2))) * (d * sqrt(n1 * n2 / (n1 + n2)))))))) END AS p
+  FROM (
+    SELECT feature, max(abs(cc1 / n1 - cc2 / n2)) AS d, max(n1) AS n1, max(n2) AS n2 FROM (
+      SELECT feature, CAST(sum(c1) OVER w AS DOUBLE) AS cc1, CAST(sum(c2) OVER w AS DOUBLE) AS cc2,
+             CAST(sum(c1) OVER (PARTITION BY feature) AS DOUBLE) AS n1,
+             CAST(sum(c2) OVER (PARTITION BY feature) AS DOUBLE) AS n2
+      FROM dks0 WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) a
+    GROUP BY feature) b
+),
+dreport AS (
+  SELECT s.feature, CAST(s.n_e AS BIGINT) AS n_train, CAST(s.n_a AS BIGINT) AS n_recent,
+         CASE WHEN s.n_e >= 10 AND s.n_a >= 10 THEN round(p.psi, 4) ELSE 0.0 END AS psi,
+         CASE WHEN s.n_e >= 10 AND s.n_a >= 10 THEN round(k.d, 4) END AS ks_statistic,
+         CASE WHEN s.n_e >= 10 AND s.n_a >= 10 THEN round(k.p, 4) END AS ks_p_value,
+         CASE WHEN s.n_e >= 10 AND s.n_a >= 10 THEN (p.psi > 0.2 OR k.p < 0.05) ELSE false END AS drifted,
+         CASE WHEN s.n_e >= 10 AND s.n_a >= 10 THEN NULL ELSE 'insufficient_data' END AS reason
+  FROM dstat s LEFT JOIN dpsi p USING (feature) LEFT JOIN dks k USING (feature)
+)"""
+
+ROLL_CTES = PRED_CTES + """,
+roll AS (
+  SELECT store_id, avg(abs(CAST(forecast_error AS DOUBLE))) AS mape_raw FROM predictions
+  WHERE actual_demand IS NOT NULL
+    AND date >= (SELECT max(date) FROM predictions WHERE actual_demand IS NOT NULL) - 7
+    AND date <= (SELECT max(date) FROM predictions WHERE actual_demand IS NOT NULL)
+  GROUP BY store_id
+)"""
+
+SQL.update({
+    "psi_by_feature": with_features("SELECT feature, round(psi, 6) AS psi FROM dpsi", DRIFT_CTES),
+    "ks_by_feature": with_features(
+        "SELECT feature, round(d, 6) AS ks_statistic, round(p, 6) AS p_value FROM dks", DRIFT_CTES),
+    "drift_report": with_features("SELECT * FROM dreport", DRIFT_CTES),
+    "drift_alert_row": with_features("""
+        SELECT 'data_drift' AS alert_type, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END AS severity,
+               printf('Data drift detected in %d feature(s): %s', count(*), string_agg(feature, ', ' ORDER BY feature))
+                 AS message, CAST(count(*) AS BIGINT) AS n_drifted
+        FROM dreport WHERE drifted HAVING count(*) > 0""", DRIFT_CTES),
+    "rolling_mape_store": with_features("SELECT store_id, round(mape_raw, 4) AS mape FROM roll", ROLL_CTES),
+    "mape_status": with_features("""
+        SELECT store_id, round(mape_raw, 4) AS mape, coalesce(round(mape_raw, 4) > 0.2, false) AS degraded
+        FROM roll""", ROLL_CTES),
+    "feedback_report": with_features("""
+        SELECT s.store_id, s.name, round(r.mape_raw, 4) AS mape,
+               CASE WHEN r.mape_raw IS NULL THEN 'no data' WHEN round(r.mape_raw, 4) > 0.2 THEN 'DEGRADED'
+                    ELSE 'OK' END AS status
+        FROM stores s LEFT JOIN roll r USING (store_id)""", ROLL_CTES),
+    "forecast_error_histogram": with_features("""
+        SELECT store_id, le, CAST(count(*) FILTER (WHERE e <= b) AS BIGINT) AS count
+        FROM (SELECT store_id, abs(CAST(predicted_demand AS DOUBLE) - actual_demand) AS e FROM predictions
+              WHERE actual_demand IS NOT NULL) p,
+             (VALUES ('0.5', 0.5), ('1.0', 1.0), ('2.0', 2.0), ('5.0', 5.0), ('10.0', 10.0), ('20.0', 20.0),
+                     ('50.0', 50.0), ('100.0', 100.0), ('Infinity', 'Infinity'::DOUBLE)) bb(le, b)
+        GROUP BY store_id, le""", PRED_CTES),
+    "retrain_triggers": with_features("""
+        SELECT sched AS schedule, drift, degraded AS mape_degraded, (sched OR drift OR degraded) AS should_retrain
+        FROM (SELECT
+          coalesce(floor((epoch((SELECT max(created_at) FROM alerts))
+                          - epoch((SELECT max(created_at) FROM alerts WHERE alert_type = 'model_promoted'))) / 86400)
+                   >= 7, true) AS sched,
+          (SELECT count(*) > 0 FROM alerts WHERE alert_type = 'data_drift' AND NOT acknowledged) AS drift,
+          (SELECT coalesce(max(CAST(round(mape_raw, 4) > 0.2 AS INTEGER)), 0) = 1 FROM roll) AS degraded) t""",
+                                     ROLL_CTES),
+    "promotion_gate": with_features("""
+        SELECT c AS current_mape, nn AS new_mape, (c IS NULL OR nn < c) AS promote FROM (
+          SELECT max(CASE WHEN model_version = 'v1' THEN m END) AS c,
+                 max(CASE WHEN model_version = 'v2' THEN m END) AS nn FROM (
+            SELECT model_version,
+                   round(coalesce(avg(CASE WHEN y > 0 THEN abs(p - y) / y END), 0.0), 6) AS m
+            FROM (SELECT model_version, CAST(actual_demand AS DOUBLE) AS y, CAST(predicted_demand AS DOUBLE) AS p
+                  FROM predictions WHERE actual_demand IS NOT NULL AND predicted_demand IS NOT NULL) t
+            GROUP BY model_version) a) b""", PRED_CTES),
+})
+
+# ---- state and inventory updates ----------------------------------------------------------------
+FS_ALL_TYPES = {
+    "day_of_week": "INTEGER", "day_of_month": "INTEGER", "week_of_year": "INTEGER", "month": "INTEGER",
+    "is_weekend": "BOOLEAN", "is_month_start": "BOOLEAN", "is_month_end": "BOOLEAN",
+    "sales_lag_1d": "DECIMAL(10,2)", "sales_lag_7d": "DECIMAL(10,2)", "sales_lag_14d": "DECIMAL(10,2)",
+    "sales_lag_28d": "DECIMAL(10,2)", "waste_lag_1d": "DECIMAL(10,2)", "waste_lag_7d": "DECIMAL(10,2)",
+    "inventory_lag_1d": "DECIMAL(10,2)", "sales_rolling_7d_mean": "DECIMAL(10,2)",
+    "sales_rolling_7d_std": "DECIMAL(10,2)", "sales_rolling_14d_mean": "DECIMAL(10,2)",
+    "sales_rolling_28d_mean": "DECIMAL(10,2)", "waste_rolling_7d_sum": "DECIMAL(10,2)",
+    "waste_rolling_7d_rate": "DECIMAL(10,4)", "revenue_rolling_7d": "DECIMAL(12,2)",
+    "sales_rolling_7d_median": "DECIMAL(10,2)", "unit_price": "DECIMAL(8,2)", "cost_price": "DECIMAL(8,2)",
+    "shelf_life_days": "INTEGER", "margin_pct": "DECIMAL(6,4)", "category_encoded": "INTEGER",
+    "is_holiday": "BOOLEAN", "is_promotion": "BOOLEAN", "promotion_discount": "DECIMAL(4,2)",
+    "temperature_avg": "DECIMAL(4,1)", "store_type_encoded": "INTEGER", "days_since_last_promo": "INTEGER",
+    "stock_to_sales_ratio": "DECIMAL(10,4)", "days_until_expiry_norm": "DECIMAL(6,4)",
+}
+
+
+def _fs_col(c):
+    t = FS_ALL_TYPES[c]
+    if c == "margin_pct":
+        u, k = "CAST(round(unit_price * 100) AS BIGINT)", "CAST(round(cost_price * 100) AS BIGINT)"
+        return (f"CAST(CASE WHEN {u} = 0 THEN 0 ELSE (({u} - {k}) * 20000 + {u}) // (2 * {u}) END / 10000.0 "
+                f"AS DOUBLE) AS margin_pct")
+    if t.startswith("DECIMAL"):
+        return f"CAST(CAST({c} AS {t}) AS DOUBLE) AS {c}"
+    if t == "BOOLEAN":
+        return f"({c} <> 0) AS {c}"
+    return f"CAST({c} AS INTEGER) AS {c}"
+
+
+FS_SELECT = "SELECT store_id, product_id, date, " + ", ".join(_fs_col(c) for c in FEATURE_COLUMNS) + " FROM features"
+
+ACT_CTE = """
+acts_in AS (
+  SELECT store_id, product_id, date, quantity_sold AS actual_sold FROM daily_sales
+  WHERE date > (SELECT max(date) FROM daily_sales) - 3
+),
+pred_upd AS (
+  SELECT p.store_id, p.product_id, p.date, p.model_version, p.predicted_demand,
+         CASE WHEN p.actual_demand IS NULL AND a.actual_sold IS NOT NULL THEN a.actual_sold ELSE p.actual_demand END
+           AS actual_demand,
+         CASE WHEN p.actual_demand IS NULL AND a.actual_sold IS NOT NULL THEN
+              CAST(sign(CAST(p.predicted_demand * 1000000 AS BIGINT) - CAST(a.actual_sold AS BIGINT) * 1000000)
+              * ((2 * abs(CAST(p.predicted_demand * 1000000 AS BIGINT) - CAST(a.actual_sold AS BIGINT) * 1000000)
+                  + greatest(a.actual_sold, 1)) // (2 * greatest(a.actual_sold, 1))) / 1000000.0 AS DECIMAL(16,6))
+              ELSE p.forecast_error END AS forecast_error
+  FROM predictions p LEFT JOIN acts_in a USING (store_id, product_id, date)
+)"""
+
+SQL.update({
+    "feature_store_projection": with_features(FS_SELECT),
+    "load_features": with_features(f"SELECT * FROM ({FS_SELECT}) t WHERE store_id = 1 OR date >= DATE '2025-06-01'"),
+    "load_verification": with_features("""
+        SELECT 'stores' AS item, CAST(count(*) AS DOUBLE) AS value FROM stores
+        UNION ALL SELECT 'categories', count(*) FROM categories
+        UNION ALL SELECT 'products', count(*) FROM products
+        UNION ALL SELECT 'daily_sales', count(*) FROM daily_sales
+        UNION ALL SELECT 'inventory_snapshots', count(*) FROM inventory_snapshots
+        UNION ALL SELECT 'alerts', count(*) FROM alerts
+        UNION ALL SELECT 'total_revenue', CAST(sum(revenue) AS DOUBLE) FROM daily_sales
+        UNION ALL SELECT 'total_wasted', CAST(sum(units_wasted) AS DOUBLE) FROM daily_sales
+        UNION ALL SELECT 'total_donated', CAST(sum(units_donated) AS DOUBLE) FROM daily_sales"""),
+    "record_actuals": with_features("""
+        SELECT store_id, product_id, date, model_version, actual_demand,
+               CAST(forecast_error AS DOUBLE) AS forecast_error
+        FROM pred_upd WHERE date > (SELECT max(date) FROM pred_upd) - 3""", PRED_CTES + "," + ACT_CTE),
+    "upsert_predictions": with_features("""
+        SELECT p.store_id, p.product_id, p.date, p.model_version,
+               CAST(CASE WHEN n.k IS NOT NULL THEN n.confidence_upper ELSE p.predicted_demand END AS DOUBLE)
+                 AS predicted_demand,
+               p.actual_demand, p.created_at
+        FROM predictions p
+        LEFT JOIN (SELECT store_id, product_id, date, model_version, confidence_upper, 1 AS k FROM predictions
+                   WHERE date > (SELECT max(date) FROM predictions) - 7 AND model_version = 'v1') n
+          USING (store_id, product_id, date, model_version)""", PRED_CTES),
+    "apply_actuals_batch": with_features("""
+        SELECT store_id, product_id, date, model_version, CAST(actual_sold AS INTEGER) AS actual_sold,
+               CAST(predicted_demand AS DOUBLE) AS predicted_demand,
+               round(abs(CAST(predicted_demand AS DOUBLE) - actual_sold) / greatest(actual_sold, 1.0) * 100, 1)
+                 AS error_pct,
+               round((CAST(predicted_demand AS DOUBLE) - actual_sold) / greatest(actual_sold, 1.0), 4)
+                 AS forecast_error
+        FROM acts_in a JOIN (
+          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id, date
+                                                      ORDER BY created_at DESC) AS rn FROM predictions) t
+          WHERE rn = 1) p USING (store_id, product_id, date)""", PRED_CTES + "," + ACT_CTE),
+    "update_rolling_mape": with_features("""
+        SELECT store_id, CASE WHEN round(m * 100, 1) = 0 THEN NULL ELSE round(m * 100, 1) END AS rolling_mape_pct
+        FROM (SELECT store_id, avg(abs(CAST(forecast_error AS DOUBLE))) AS m FROM pred_upd
+              WHERE actual_demand IS NOT NULL AND date >= (SELECT max(date) FROM pred_upd) - 7
+              GROUP BY store_id) t""", PRED_CTES + "," + ACT_CTE),
+    "unknown_store_requests": with_features("""
+        SELECT DISTINCT d.store_id + 3 AS store_id FROM daily_sales d
+        WHERE NOT EXISTS (SELECT 1 FROM stores s WHERE s.store_id = d.store_id + 3)"""),
+    "site_visit_normalize": with_features("""
+        SELECT visit_id, received_at,
+               coalesce(nullif(json_extract_string(payload_json, '$.ip'), ''),
+                        nullif(trim(split_part(x_forwarded_for, ',', 1)), '')) AS ip,
+               path, payload_json
+        FROM site_visit_events"""),
+})

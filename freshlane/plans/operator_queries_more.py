@@ -175,3 +175,209 @@ def _log_out(ctx):
 
 
 register("recommendations_log_rows", _log_out)
+
+
+# ---- evaluation (E1..E8) ---------------------------------------------------------------------------
+from freshlane.operators import evaluate as E  # noqa: E402
+from freshlane.operators import monitor as M  # noqa: E402
+
+
+def _pred_eval(ctx):
+    p = ctx.predictions
+    return p.select("store_id", "product_id", "date", "model_version",
+                    F.col("actual_demand").alias("y"), F.col("predicted_demand").alias("p"))
+
+
+register("forecast_metrics", lambda ctx: E.forecast_metrics(_pred_eval(ctx), ["model_version"]))
+register("business_cost", lambda ctx: E.business_cost(
+    _pred_eval(ctx).join(F.broadcast(ctx.products.select("product_id", "unit_price", "cost_price")), "product_id"),
+    ["model_version"]))
+
+
+def _waste_eval(ctx):
+    """Per row: L1 label, waste score (6 dp), split, filled lags, target."""
+    f = ctx.features.select(*KEYS3, "quantity_sold", "sales_lag_1d", "sales_lag_7d",
+                            S.waste_score().cast("decimal(16,6)").cast("double").alias("score"))
+    lab = L.waste_labels(ctx.daily_sales).withColumnRenamed("waste_label", "label")
+    sp = L.time_split(ctx.daily_sales, ctx.config)
+    return f.join(lab, KEYS3).join(sp, KEYS3)
+
+
+register("classifier_metrics", lambda ctx: E.classifier_metrics(_waste_eval(ctx), ["split"]))
+register("auc_roc", lambda ctx: E.auc_roc(_waste_eval(ctx), ["split"]))
+register("average_precision", lambda ctx: E.average_precision(_waste_eval(ctx), ["split"]))
+register("baseline_mape", lambda ctx: E.baseline_mape(
+    _waste_eval(ctx).select("split", F.col("quantity_sold").alias("y"), F.col("sales_lag_1d").alias("lag1"),
+                            F.col("sales_lag_7d").alias("lag7")), ["split"]))
+
+
+# ---- drift / feedback / retrain (R1..R9) -----------------------------------------------------------
+def _drift_inputs(ctx):
+    fs = ctx.feature_store
+    cut = L.split_cutoffs(ctx.daily_sales, ctx.config).select("c1").scalar()
+    start = F.date_sub(fs.agg(F.max("date").alias("d")).select("d").scalar(), ctx.config.drift_recent_days)
+    return fs, cut, start
+
+
+def _psi(ctx):
+    fs, cut, start = _drift_inputs(ctx)
+    return M.psi(M.long_samples(fs, cut, start), ctx.config.psi_bins).select(
+        "feature", F.round("psi", 6).alias("psi"))
+
+
+def _ks(ctx):
+    fs, cut, start = _drift_inputs(ctx)
+    return M.ks(M.long_samples(fs, cut, start)).select(
+        "feature", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("p", 6).alias("p_value"))
+
+
+def _drift_report(ctx):
+    fs, cut, start = _drift_inputs(ctx)
+    return M.drift_report(fs, cut, start, ctx.config)
+
+
+register("psi_by_feature", _psi)
+register("ks_by_feature", _ks)
+register("drift_report", _drift_report)
+register("drift_alert_row", lambda ctx: M.drift_alert_row(_drift_report(ctx)).select(
+    "alert_type", "severity", "message", "n_drifted"))
+
+
+def _as_of_actuals(ctx):
+    p = ctx.predictions
+    return p.where(F.col("actual_demand").isNotNull()).agg(F.max("date").alias("d")).select("d").scalar()
+
+
+def _rolling(ctx):
+    return M.rolling_mape(ctx.predictions, _as_of_actuals(ctx))
+
+
+register("rolling_mape_store", lambda ctx: _rolling(ctx).select("store_id", F.round("mape_raw", 4).alias("mape")))
+register("mape_status", lambda ctx: _rolling(ctx).select(
+    "store_id", F.round("mape_raw", 4).alias("mape"),
+    M.mape_status(F.round("mape_raw", 4), ctx.config.mape_threshold).alias("degraded")))
+
+
+def _feedback(ctx):
+    r = _rolling(ctx).select("store_id", F.round("mape_raw", 4).alias("mape"))
+    j = ctx.stores.select("store_id", "name").join(r, "store_id", "left")
+    status = (F.when(F.col("mape").isNull(), "no data")
+               .when(F.col("mape") > ctx.config.mape_threshold, "DEGRADED").otherwise("OK"))
+    return j.select("store_id", "name", "mape", status.alias("status"))
+
+
+register("feedback_report", _feedback)
+register("forecast_error_histogram", lambda ctx: M.forecast_error_histogram(ctx.predictions))
+
+
+def _retrain_triggers(ctx):
+    """Schedule (no model_promoted alert, or >= 7 whole days before the log's last
+    event), drift (an unacknowledged data_drift alert), MAPE degraded in any store."""
+    a = ctx.alerts
+    now = a.agg(F.max("created_at").alias("t")).select("t").scalar()
+    last_promo = a.where(F.col("alert_type") == "model_promoted").agg(F.max("created_at").alias("t")) \
+        .select("t").scalar()
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(last_promo)) / 86400)
+    schedule = F.when(last_promo.isNull(), F.lit(True)).otherwise(days >= ctx.config.retrain_interval_days)
+    drift = a.where((F.col("alert_type") == "data_drift") & ~F.col("acknowledged")).agg(
+        (F.count(F.lit(1)) > 0).alias("x")).select("x").scalar()
+    r = _rolling(ctx)
+    degraded = r.agg(F.coalesce(F.max((F.round("mape_raw", 4) > ctx.config.mape_threshold).cast("int")),
+                                F.lit(0)).alias("x")).select("x").scalar() == 1
+    one = ctx.stores.agg(F.count(F.lit(1)).alias("n"))
+    return one.select(schedule.alias("schedule"), drift.alias("drift"), degraded.alias("mape_degraded"),
+                      (schedule | drift | degraded).alias("should_retrain"))
+
+
+register("retrain_triggers", _retrain_triggers)
+
+
+def _promotion_gate(ctx):
+    """Candidate (v2) replaces current (v1) only when its MAPE is strictly lower."""
+    m = E.forecast_metrics(_pred_eval(ctx), ["model_version"])
+    cur = m.where(F.col("model_version") == "v1").select(F.col("mape").alias("current_mape"))
+    new = m.where(F.col("model_version") == "v2").select(F.col("mape").alias("new_mape"))
+    one = ctx.stores.agg(F.count(F.lit(1)).alias("n"))
+    c, n = cur.select("current_mape").scalar(), new.select("new_mape").scalar()
+    return one.select(c.alias("current_mape"), n.alias("new_mape"),
+                      (c.isNull() | (n < c)).alias("promote"))
+
+
+register("promotion_gate", _promotion_gate)
+
+
+# ---- state (S3, S5, S6, S7, S10) and inventory updates (I3..I5) ----------------------------------------
+from freshlane.operators import state as ST  # noqa: E402
+
+
+def _fs_out(ctx):
+    fs = ctx.feature_store
+    return fs.select(*KEYS3, *[F.col(c).cast("double").alias(c) if "decimal" in ST.FEATURE_STORE_TYPES[c]
+                               else F.col(c) for c in L.FEATURE_COLUMNS])
+
+
+register("feature_store_projection", _fs_out)
+register("load_features", lambda ctx: _fs_out(ctx).where(
+    (F.col("store_id") == 1) | (F.col("date") >= F.lit("2025-06-01").cast("date"))))
+register("load_verification", lambda ctx: ST.load_verification(ctx))
+
+
+def _actuals_batch(ctx):
+    """The actuals a store posts: every sale of the last 3 days (not yet in predictions)."""
+    s = ctx.daily_sales
+    last = s.agg(F.max("date").alias("d")).select("d").scalar()
+    return s.where(F.col("date") > F.date_sub(last, 3)).select(*KEYS3, F.col("quantity_sold").alias("actual_sold"))
+
+
+def _record_actuals(ctx):
+    p = ST.record_actuals(ctx.predictions, _actuals_batch(ctx))
+    return p.where(F.col("date") > F.date_sub(p.agg(F.max("date").alias("d")).select("d").scalar(), 3)).select(
+        *KEYS3, "model_version", "actual_demand", F.col("forecast_error").cast("double").alias("forecast_error"))
+
+
+register("record_actuals", _record_actuals)
+
+
+def _upsert(ctx):
+    """Re-score the last 7 days (new values for v1) into the existing predictions."""
+    p = ctx.predictions
+    last = p.agg(F.max("date").alias("d")).select("d").scalar()
+    new = (p.where((F.col("date") > F.date_sub(last, 7)) & (F.col("model_version") == "v1"))
+           .select(*ST.PRED_KEY, (F.col("confidence_upper")).alias("predicted_demand"), "confidence_lower",
+                   "confidence_upper", "waste_risk_score", "waste_risk_tier"))
+    u = ST.upsert_predictions(p, new)
+    return u.select(*ST.PRED_KEY, F.col("predicted_demand").cast("double").alias("predicted_demand"),
+                    "actual_demand", "created_at")
+
+
+register("upsert_predictions", _upsert)
+register("apply_actuals_batch", lambda ctx: ST.apply_actuals_batch(ctx.predictions, _actuals_batch(ctx)))
+
+
+def _update_rolling(ctx):
+    """After an update, per store MAPE over date >= d - 7 days (no upper bound), x100, 1 dp, 0 -> NULL."""
+    p = ST.record_actuals(ctx.predictions, _actuals_batch(ctx))
+    last = p.agg(F.max("date").alias("d")).select("d").scalar()
+    r = M.rolling_mape(p, last, 7, upper_bound=False)
+    v = F.round(F.col("mape_raw") * 100, 1)
+    return r.select("store_id", F.when(v == 0, F.lit(None)).otherwise(v).alias("rolling_mape_pct"))
+
+
+register("update_rolling_mape", _update_rolling)
+
+
+def _unknown_store_requests(ctx):
+    """Requests whose store does not exist (store ids posted = sales stores shifted by 3)."""
+    req = ctx.daily_sales.select((F.col("store_id") + 3).alias("store_id")).distinct()
+    return req.join(ctx.stores.select("store_id"), "store_id", "left_anti")
+
+
+register("unknown_store_requests", _unknown_store_requests)
+
+
+def _site_visits(ctx):
+    v = ST.site_visit_normalize(ctx.site_visit_events)
+    return v.select("visit_id", "received_at", "ip", "path", "payload_json")
+
+
+register("site_visit_normalize", _site_visits)
