@@ -650,3 +650,78 @@ SQL.update({
                path, payload_json
         FROM site_visit_events"""),
 })
+
+# ---- data quality ------------------------------------------------------------------------------------
+SQL.update({
+    "dq_duplicates": with_features("""
+        SELECT 'daily_sales' AS "table", 'store_id,product_id,date' AS "column",
+               (SELECT CAST(count(*) AS BIGINT) FROM (SELECT store_id, product_id, date FROM daily_sales
+                GROUP BY ALL HAVING count(*) > 1) t) AS violations
+        UNION ALL SELECT 'inventory_snapshots', 'store_id,product_id,date',
+               (SELECT count(*) FROM (SELECT store_id, product_id, date FROM inventory_snapshots
+                GROUP BY ALL HAVING count(*) > 1) t)
+        UNION ALL SELECT 'feature_store', 'store_id,product_id,date',
+               (SELECT count(*) FROM (SELECT store_id, product_id, date FROM features
+                GROUP BY ALL HAVING count(*) > 1) t)
+        UNION ALL SELECT 'predictions', 'store_id,product_id,date,model_version',
+               (SELECT count(*) FROM (SELECT store_id, product_id, date, model_version FROM predictions
+                GROUP BY ALL HAVING count(*) > 1) t)""", PRED_CTES),
+    "dq_nulls": with_features("""
+        SELECT 'daily_sales' AS "table", c AS "column", CAST(v AS BIGINT) AS violations FROM (
+          SELECT unnest(['store_id', 'product_id', 'date', 'quantity_sold', 'revenue']) AS c,
+                 unnest([count(*) FILTER (WHERE store_id IS NULL), count(*) FILTER (WHERE product_id IS NULL),
+                         count(*) FILTER (WHERE date IS NULL), count(*) FILTER (WHERE quantity_sold IS NULL),
+                         count(*) FILTER (WHERE revenue IS NULL)]) AS v FROM daily_sales) a
+        UNION ALL
+        SELECT 'inventory_snapshots', c, CAST(v AS BIGINT) FROM (
+          SELECT unnest(['store_id', 'product_id', 'date', 'quantity_on_hand', 'reorder_point']) AS c,
+                 unnest([count(*) FILTER (WHERE store_id IS NULL), count(*) FILTER (WHERE product_id IS NULL),
+                         count(*) FILTER (WHERE date IS NULL), count(*) FILTER (WHERE quantity_on_hand IS NULL),
+                         count(*) FILTER (WHERE reorder_point IS NULL)]) AS v FROM inventory_snapshots) b"""),
+    "dq_ranges": with_features("""
+        SELECT 'recommendations_log' AS "table", 'markdown_pct' AS "column",
+               CAST(count(*) FILTER (WHERE markdown_pct < 0 OR markdown_pct > 100) AS BIGINT) AS violations
+        FROM rrank""", REC_CTES),
+    "dq_negative": with_features("""
+        SELECT 'daily_sales' AS "table", 'quantity_sold' AS "column",
+               CAST(count(*) FILTER (WHERE quantity_sold < 0) AS BIGINT) AS violations FROM daily_sales
+        UNION ALL SELECT 'daily_sales', 'units_wasted', count(*) FILTER (WHERE units_wasted < 0) FROM daily_sales
+        UNION ALL SELECT 'daily_sales', 'units_donated', count(*) FILTER (WHERE units_donated < 0) FROM daily_sales
+        UNION ALL SELECT 'daily_sales', 'revenue', count(*) FILTER (WHERE revenue < 0) FROM daily_sales
+        UNION ALL SELECT 'inventory_snapshots', 'quantity_on_hand', count(*) FILTER (WHERE quantity_on_hand < 0)
+                  FROM inventory_snapshots"""),
+    "dq_orphans": with_features("""
+        SELECT 'daily_sales' AS "table", 'product_id' AS "column",
+               CAST(count(*) AS BIGINT) AS violations FROM daily_sales d
+               WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_id = d.product_id)
+        UNION ALL SELECT 'daily_sales', 'store_id', count(*) FROM daily_sales d
+               WHERE NOT EXISTS (SELECT 1 FROM stores s WHERE s.store_id = d.store_id)
+        UNION ALL SELECT 'inventory_snapshots', 'product_id', count(*) FROM inventory_snapshots i
+               WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_id = i.product_id)
+        UNION ALL SELECT 'products', 'category_id', count(*) FROM products p
+               WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.category_id = p.category_id)"""),
+    "dq_feature_nulls": with_features("""
+        SELECT 'feature_store' AS "table", c AS "column", CAST(v AS BIGINT) AS violations FROM (
+          SELECT unnest(['sales_lag_7d', 'sales_rolling_7d_mean', 'unit_price']) AS c,
+                 unnest([count(*) FILTER (WHERE sales_lag_7d IS NULL),
+                         count(*) FILTER (WHERE sales_rolling_7d_mean IS NULL),
+                         count(*) FILTER (WHERE unit_price IS NULL)]) AS v FROM features) a"""),
+    "dq_row_counts": with_features("""
+        SELECT 'stores' AS "table", CAST(count(*) AS BIGINT) AS rows, CAST(1 AS BIGINT) AS min_rows,
+               count(*) >= 1 AS ok FROM stores
+        UNION ALL SELECT 'products', count(*), 1, count(*) >= 1 FROM products
+        UNION ALL SELECT 'daily_sales', count(*), 5001, count(*) >= 5001 FROM daily_sales
+        UNION ALL SELECT 'feature_store', count(*), 0, count(*) >= 0 FROM features"""),
+    "dq_requests": with_features("""
+        SELECT status, reason, CAST(count(*) AS BIGINT) AS n FROM (
+          SELECT CASE WHEN reason IS NULL THEN 'valid' ELSE 'rejected' END AS status, reason FROM (
+            SELECT CASE WHEN store_id < 1 THEN 'store_id < 1' WHEN product_id < 1 THEN 'product_id < 1'
+                        WHEN current_stock < 0 THEN 'current_stock < 0'
+                        WHEN days_until_expiry < 0 THEN 'days_until_expiry < 0' END AS reason
+            FROM (SELECT store_id, product_id, quantity_on_hand AS current_stock,
+                         coalesce(days_until_expiry, 7) AS days_until_expiry FROM inventory_snapshots
+                  UNION ALL
+                  SELECT store_id - 1, product_id, quantity_on_hand - 60, coalesce(days_until_expiry, 7)
+                  FROM inventory_snapshots) r) a) b
+        GROUP BY status, reason"""),
+})

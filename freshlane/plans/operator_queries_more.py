@@ -381,3 +381,37 @@ def _site_visits(ctx):
 
 
 register("site_visit_normalize", _site_visits)
+
+
+# ---- data quality (Q1..Q8) -------------------------------------------------------------------------
+from freshlane.operators import quality as Q  # noqa: E402
+
+register("dq_duplicates", lambda ctx: Q.duplicates({
+    "daily_sales": (ctx.daily_sales, KEYS3), "inventory_snapshots": (ctx.inventory_snapshots, KEYS3),
+    "feature_store": (ctx.feature_store, KEYS3), "predictions": (ctx.predictions, KEYS3 + ["model_version"])}))
+register("dq_nulls", lambda ctx: Q.nulls({
+    "daily_sales": (ctx.daily_sales, KEYS3 + ["quantity_sold", "revenue"]),
+    "inventory_snapshots": (ctx.inventory_snapshots, KEYS3 + ["quantity_on_hand", "reorder_point"])}))
+register("dq_ranges", lambda ctx: Q.out_of_range([
+    ("recommendations_log", ctx.recommendations_log, "markdown_pct", 0, 100)]))
+register("dq_negative", lambda ctx: Q.out_of_range([
+    ("daily_sales", ctx.daily_sales, "quantity_sold", 0, None),
+    ("daily_sales", ctx.daily_sales, "units_wasted", 0, None),
+    ("daily_sales", ctx.daily_sales, "units_donated", 0, None),
+    ("daily_sales", ctx.daily_sales, "revenue", 0, None),
+    ("inventory_snapshots", ctx.inventory_snapshots, "quantity_on_hand", 0, None)]))
+register("dq_orphans", lambda ctx: Q.orphans([
+    ("daily_sales", ctx.daily_sales, ctx.products, "product_id"),
+    ("daily_sales", ctx.daily_sales, ctx.stores, "store_id"),
+    ("inventory_snapshots", ctx.inventory_snapshots, ctx.products, "product_id"),
+    ("products", ctx.products, ctx.categories, "category_id")]))
+register("dq_feature_nulls", lambda ctx: Q.nulls({
+    "feature_store": (ctx.feature_store, ["sales_lag_7d", "sales_rolling_7d_mean", "unit_price"])}))
+register("dq_row_counts", lambda ctx: Q.row_counts([
+    ("stores", ctx.stores, 1), ("products", ctx.products, 1), ("daily_sales", ctx.daily_sales, 5001),
+    ("feature_store", ctx.feature_store, 0)]))
+register("dq_requests", lambda ctx: Q.request_validity(
+    R.waste_requests(ctx).unionByName(
+        R.waste_requests(ctx).select((F.col("store_id") - 1).alias("store_id"), "product_id", "date",
+                                     (F.col("current_stock") - 60).alias("current_stock"), "days_until_expiry")))
+         .groupBy("status", "reason").agg(F.count(F.lit(1)).cast("long").alias("n")))
