@@ -50,6 +50,25 @@ class Ctx(Retail):
         return build_features(self.daily_sales, self.products, self.inventory_snapshots,
                               self.stores, fill=False, config=self.config)
 
+    @cached_property
+    def ml(self) -> dict:
+        """Fitted Spark ML models on the L3 train split (kept for the session)."""
+        key = ("ml", self.spark.sparkContext.applicationId, self.sf_dir, self.config)
+        hit = _FEATURE_CACHE.get(key)
+        if hit is None:
+            from freshlane.operators import labels as L
+            from freshlane.operators import models as M
+            f = self.features
+            sp = L.time_split(self.daily_sales, self.config)
+            lab = L.waste_labels(self.daily_sales)
+            data = f.join(sp, ["store_id", "product_id", "date"]).join(lab, ["store_id", "product_id", "date"])
+            train = data.where("split = 'train'").checkpoint(eager=True)
+            demand = M.train_demand(train)
+            hit = {"demand": demand, "leaves": M.leaf_quantiles(demand, train).checkpoint(eager=True),
+                   "waste": M.train_waste(train), "data": data}
+            _FEATURE_CACHE[key] = hit
+        return hit
+
     @cached_property
     def feature_store(self) -> DataFrame:
         from freshlane.operators.state import feature_store_projection

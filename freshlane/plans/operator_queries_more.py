@@ -415,3 +415,73 @@ register("dq_requests", lambda ctx: Q.request_validity(
         R.waste_requests(ctx).select((F.col("store_id") - 1).alias("store_id"), "product_id", "date",
                                      (F.col("current_stock") - 60).alias("current_stock"), "days_until_expiry")))
          .groupBy("status", "reason").agg(F.count(F.lit(1)).cast("long").alias("n")))
+
+
+# ---- Spark ML models (M1, M3..M6, M8 with fitted models) -----------------------------------------------
+from freshlane.operators import models as ML  # noqa: E402
+
+
+def _ml_scored(ctx):
+    m = ctx.ml
+    d = ML.score_demand(m["demand"], m["leaves"], m["data"])
+    return m["data"].select(*KEYS3, "split", "quantity_sold", "sales_lag_7d").join(d, KEYS3)
+
+
+def _train_demand_model(ctx):
+    """M1: test-split metrics of GBT, RF, the 0.6/0.4 ensemble and the naive lag-7 baseline."""
+    m = ctx.ml
+    s = m["demand"].transform(m["data"].where("split = 'test'").withColumn("label", F.lit(0.0)))
+    ens = F.greatest(F.lit(0.0), F.lit(0.6) * F.col("p_gbt") + F.lit(0.4) * F.col("p_rf"))
+    long = s.select("quantity_sold", F.explode(F.array(
+        F.struct(F.lit("gbt").alias("model"), F.col("p_gbt").alias("p")),
+        F.struct(F.lit("random_forest").alias("model"), F.col("p_rf").alias("p")),
+        F.struct(F.lit("ensemble").alias("model"), ens.alias("p")),
+        F.struct(F.lit("naive_lag7").alias("model"), F.col("sales_lag_7d").alias("p")))).alias("x"))
+    return E.forecast_metrics(long.select("x.model", F.col("quantity_sold").alias("y"), "x.p"), ["model"])
+
+
+register("train_demand_model", _train_demand_model)
+register("score_demand_ml", lambda ctx: _ml_scored(ctx).select(
+    *KEYS3, *[round6(c).alias(c) for c in ("predicted_demand", "confidence_lower", "confidence_upper")]))
+
+
+def _importance(ctx):
+    rows = [(n, float(v), i + 1) for i, (n, v) in enumerate(ML.feature_importance(ctx.ml["demand"]))]
+    return ctx.spark.createDataFrame(rows, "feature string, importance double, rank int")
+
+
+register("feature_importance", _importance)
+
+
+def _waste_scored(ctx):
+    m = ctx.ml
+    return m["data"].select(*KEYS3, "split", "waste_label").join(ML.score_waste(m["waste"], m["data"]), KEYS3)
+
+
+def _train_waste_model(ctx):
+    """M5: per split precision / recall / f1 at 0.5, AUC and average precision."""
+    s = _waste_scored(ctx).select("split", F.col("waste_label").alias("label"),
+                                  F.round("waste_risk_score", 6).alias("score"))
+    return (E.classifier_metrics(s, ["split"]).join(E.auc_roc(s, ["split"]), "split")
+            .join(E.average_precision(s, ["split"]), "split"))
+
+
+register("train_waste_model", _train_waste_model)
+register("score_waste_ml", lambda ctx: _waste_scored(ctx).select(
+    *KEYS3, round6("waste_risk_score").alias("waste_risk_score"), "waste_risk_tier"))
+
+
+def _daily_forecast_ml(ctx):
+    """M8 with the fitted models: latest feature row per pair on/before (last date - 7)."""
+    m = ctx.ml
+    f = ctx.features
+    target = F.date_sub(f.agg(F.max("date").alias("d")).select("d").scalar(), 7)
+    latest = A.latest_by(f.where(F.col("date") <= target), KEYS, "date")
+    d = ML.score_demand(m["demand"], m["leaves"], latest)
+    w = ML.score_waste(m["waste"], latest)
+    return d.join(w, KEYS3).select(*KEYS3, *[F.round(c, 2).alias(c) for c in
+                                             ("predicted_demand", "confidence_lower", "confidence_upper")],
+                                   F.round("waste_risk_score", 4).alias("waste_risk_score"), "waste_risk_tier")
+
+
+register("daily_forecast_ml", _daily_forecast_ml)
