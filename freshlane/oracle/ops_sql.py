@@ -725,3 +725,14 @@ SQL.update({
                   FROM inventory_snapshots) r) a) b
         GROUP BY status, reason"""),
 })
+
+# ---- streaming results equal their batch counterparts for in-order data ---------------------------------
+SQL.update({
+    "stream_site_visits": SQL["site_visit_normalize"],
+    "stream_actuals": with_features("""
+        SELECT store_id, product_id, date, CAST(quantity_sold AS BIGINT) AS actual_sold FROM daily_sales"""),
+    "stream_daily_metrics": with_features("""
+        SELECT store_id, date, CAST(sum(quantity_sold) AS BIGINT) AS sold, CAST(sum(revenue) AS DOUBLE) AS revenue,
+               CAST(sum(units_wasted) AS BIGINT) AS wasted
+        FROM daily_sales GROUP BY store_id, date"""),
+})

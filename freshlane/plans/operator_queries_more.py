@@ -485,3 +485,31 @@ def _daily_forecast_ml(ctx):
 
 
 register("daily_forecast_ml", _daily_forecast_ml)
+
+
+# ---- streaming (T1..T3): run the stream to completion over the files present, read its sink --------------
+from freshlane.streaming import streams as T  # noqa: E402
+
+
+def _stream_site_visits(ctx):
+    out, ck = T.stream_dirs(ctx.spark, "site_visits")
+    T.run_once(T.site_visits(ctx.spark, ctx.sf_dir, out, ck))
+    return ctx.spark.read.parquet(out).select("visit_id", F.col("received_at").cast("timestamp_ntz")
+                                              .alias("received_at"), "ip", "path", "payload_json")
+
+
+def _stream_actuals(ctx):
+    out, ck = T.stream_dirs(ctx.spark, "actuals")
+    T.run_once(T.actuals(ctx.spark, ctx.sf_dir, out, ck))
+    return T.read_actuals(ctx.spark, out)
+
+
+def _stream_daily_metrics(ctx):
+    out, ck = T.stream_dirs(ctx.spark, "daily_metrics")
+    T.run_once(T.daily_metrics(ctx.spark, ctx.sf_dir, out, ck))
+    return T.read_daily_metrics(ctx.spark, out)
+
+
+register("stream_site_visits", _stream_site_visits)
+register("stream_actuals", _stream_actuals)
+register("stream_daily_metrics", _stream_daily_metrics)

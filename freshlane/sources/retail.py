@@ -42,6 +42,60 @@ def product_shelf_life(category_id, brand_no):
     return X.shelf_days_for(category_id) + brand_no % 3
 
 
+def sales_lines(li: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """lineitem joined to its product (part) and store (supplier -> nation -> region)."""
+    li = li.select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                   "l_returnflag", "l_shipdate")
+    parts = _part_keys(part).select("p_partkey", "product_id")
+    sup = (supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+           .select("s_suppkey", (F.col("n_regionkey") + 1).alias("store_id")))
+    rows = (li.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+              .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+              .where(F.col("product_id").isNotNull()))
+    q = F.floor("l_quantity").cast("long")
+    dpct = F.round(F.col("l_discount") * 100).cast("int")
+    is_r = F.col("l_returnflag") == "R"
+    return rows.select(
+        "store_id", "product_id", X.retail_date("l_shipdate").alias("date"), q.alias("q"), dpct.alias("dpct"),
+        (F.round(F.col("l_extendedprice") * 100).cast("long") * (F.lit(100) - dpct)).alias("rev"),
+        F.when(is_r, X.idiv(q, F.lit(5))).otherwise(0).alias("w"),
+        F.when(is_r & (F.col("l_linenumber") >= 5), X.idiv(q, F.lit(10))).otherwise(0).alias("dn"))
+
+
+def daily_from_lines(lines: DataFrame) -> DataFrame:
+    """daily_sales from sales lines: one row per (store, product, day)."""
+    g = (lines.groupBy("store_id", "product_id", "date")
+         .agg(F.sum("q").alias("quantity_sold"), F.sum("rev").alias("rev"),
+              F.sum("w").alias("units_wasted"), F.sum("dn").alias("units_donated"),
+              F.max("dpct").alias("max_dpct")))
+    doy = F.dayofyear("date")
+    mmdd = F.month("date") * 100 + F.dayofmonth("date")
+    promo = F.col("max_dpct") >= 9
+    return g.select(
+        F.col("store_id").cast("int"), F.col("product_id").cast("int"), "date",
+        F.col("quantity_sold").cast("int"),
+        (X.idiv("rev", F.lit(100)).cast("decimal(16,0)") / 100).cast("decimal(14,2)").alias("revenue"),
+        F.col("units_wasted").cast("int"), F.col("units_donated").cast("int"),
+        (F.lit(30) + (F.lit(7) * doy) % 50).cast("double").alias("temperature_avg"),
+        mmdd.isin(*X.HOLIDAYS_MMDD).alias("is_holiday"),
+        promo.alias("is_promotion"),
+        F.when(promo, F.col("max_dpct") / F.lit(100.0)).otherwise(F.lit(0.0)).alias("promotion_discount"),
+        F.weekday("date").cast("int").alias("day_of_week"),
+    )
+
+
+def visit_posts(events: DataFrame) -> DataFrame:
+    """Raw visit posts (headers and payload as they would arrive) from view / click events."""
+    xff = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."),
+                 (F.col("event_id") % 256).cast("string"), F.lit(", 172.16.0.1")))
+    return (events.where(F.col("event_type").isin("view", "click"))
+            .select(F.col("event_id").alias("visit_id"), F.col("ts").alias("received_at"),
+                    "event_type", "user_id", xff.alias("x_forwarded_for"),
+                    F.concat(F.lit("/"), "event_type").alias("path"),
+                    F.col("props").alias("payload_json")))
+
+
 class Retail:
     """Lazily derived retail tables over one driver data folder."""
 
@@ -97,46 +151,16 @@ class Retail:
         )
 
     # ---- facts ------------------------------------------------------------------
+    def sales_lines(self, lineitem: DataFrame | None = None) -> DataFrame:
+        """Line-level sales keyed by (store, product, day); ``lineitem`` may be a stream."""
+        li = lineitem if lineitem is not None else self.raw("lineitem")
+        return sales_lines(li, self.raw("part", "p_partkey", "p_type", "p_brand", "p_retailprice"),
+                           self.raw("supplier", "s_suppkey", "s_nationkey"),
+                           self.raw("nation", "n_nationkey", "n_regionkey"))
+
     @cached_property
     def daily_sales(self) -> DataFrame:
-        li = self.raw("lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                      "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
-        parts = _part_keys(self.raw("part", "p_partkey", "p_type", "p_brand", "p_retailprice")) \
-            .select("p_partkey", "product_id")
-        nation = self.raw("nation", "n_nationkey", "n_regionkey")
-        sup = (self.raw("supplier", "s_suppkey", "s_nationkey")
-               .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-               .select("s_suppkey", (F.col("n_regionkey") + 1).alias("store_id")))
-        rows = (li.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-                  .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-                  .where(F.col("product_id").isNotNull()))
-        q = F.floor("l_quantity").cast("long")
-        dpct = F.round(F.col("l_discount") * 100).cast("int")
-        is_r = F.col("l_returnflag") == "R"
-        g = (rows.select(
-                "store_id", "product_id", X.retail_date("l_shipdate").alias("date"), q.alias("q"),
-                dpct.alias("dpct"),
-                (F.round(F.col("l_extendedprice") * 100).cast("long") * (F.lit(100) - dpct)).alias("rev"),
-                F.when(is_r, X.idiv(q, F.lit(5))).otherwise(0).alias("w"),
-                F.when(is_r & (F.col("l_linenumber") >= 5), X.idiv(q, F.lit(10))).otherwise(0).alias("dn"))
-             .groupBy("store_id", "product_id", "date")
-             .agg(F.sum("q").alias("quantity_sold"), F.sum("rev").alias("rev"),
-                  F.sum("w").alias("units_wasted"), F.sum("dn").alias("units_donated"),
-                  F.max("dpct").alias("max_dpct")))
-        doy = F.dayofyear("date")
-        mmdd = F.month("date") * 100 + F.dayofmonth("date")
-        promo = F.col("max_dpct") >= 9
-        return g.select(
-            F.col("store_id").cast("int"), F.col("product_id").cast("int"), "date",
-            F.col("quantity_sold").cast("int"),
-            (X.idiv("rev", F.lit(100)).cast("decimal(16,0)") / 100).cast("decimal(14,2)").alias("revenue"),
-            F.col("units_wasted").cast("int"), F.col("units_donated").cast("int"),
-            (F.lit(30) + (F.lit(7) * doy) % 50).cast("double").alias("temperature_avg"),
-            mmdd.isin(*X.HOLIDAYS_MMDD).alias("is_holiday"),
-            promo.alias("is_promotion"),
-            F.when(promo, F.col("max_dpct") / F.lit(100.0)).otherwise(F.lit(0.0)).alias("promotion_discount"),
-            F.weekday("date").cast("int").alias("day_of_week"),
-        )
+        return daily_from_lines(self.sales_lines())
 
     @cached_property
     def inventory_snapshots(self) -> DataFrame:
@@ -176,12 +200,4 @@ class Retail:
     @cached_property
     def site_visit_events(self) -> DataFrame:
         """Raw visit posts: headers and payload as they would arrive."""
-        e = self.raw("events", "event_id", "ts", "user_id", "event_type", "props")
-        xff = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).otherwise(
-            F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."),
-                     (F.col("event_id") % 256).cast("string"), F.lit(", 172.16.0.1")))
-        return (e.where(F.col("event_type").isin("view", "click"))
-                .select(F.col("event_id").alias("visit_id"), F.col("ts").alias("received_at"),
-                        "event_type", "user_id", xff.alias("x_forwarded_for"),
-                        F.concat(F.lit("/"), "event_type").alias("path"),
-                        F.col("props").alias("payload_json")))
+        return visit_posts(self.raw("events", "event_id", "ts", "user_id", "event_type", "props"))
