@@ -23,6 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+# Largest number of distinct values per key handled by one window task; above
+# it the bucketed two-level scheme keeps every task bounded.
+MAX_DIRECT = 1_000_000
+
+
+def _max_per_key(distinct_df: DataFrame, keys: Sequence[str]) -> int:
+    """Size check (a small job): the largest number of distinct rows of any key."""
+    r = distinct_df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return int(r[0] or 0)
 
 
 def _bounds(distinct_df: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
@@ -63,6 +72,14 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, weights: Sequenc
     ``all_<w>`` (key total).
     """
     src = df.withColumn("_o", -F.col(order) if descending else F.col(order))
+    if _max_per_key(src, keys) <= MAX_DIRECT:
+        w = Window.partitionBy(*keys).orderBy("_o")
+        out = src
+        for x in weights:
+            out = (out.withColumn(f"cum_{x}", F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                      .withColumn(f"prev_{x}", F.col(f"cum_{x}") - F.col(x))
+                      .withColumn(f"all_{x}", F.sum(x).over(Window.partitionBy(*keys))))
+        return out.drop("_o")
     bk = _bucketed(src, keys, "_o", buckets)
     off = bucket_offsets(bk, keys, weights)
     j = bk.join(F.broadcast(off.drop(*[f"_t_{x}" for x in weights])), [*keys, "_b"])
@@ -86,6 +103,8 @@ def exact_percentiles(long_df: DataFrame, keys: Sequence[str], value: str, probs
     keys = list(keys)
     counts = (long_df.where(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    if _max_per_key(counts, keys) <= MAX_DIRECT:
+        return _percentiles_direct(counts, keys, value, probs)
     bk = _bucketed(counts, keys, value, buckets)
     off = bucket_offsets(bk, keys, ["_c"])
     # wanted 0-based ranks for every prob: floor and ceil of p*(n-1), and their bucket
@@ -114,6 +133,27 @@ def exact_percentiles(long_df: DataFrame, keys: Sequence[str], value: str, probs
     return g.select(*keys, "prob", val.cast("double").alias("value"))
 
 
+def _percentiles_direct(counts: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Same result as the bucketed path when each key's distinct values fit one task."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    c = (counts.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+               .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
+    pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
+    ranks = (c.select(*keys, "_n").distinct().select(*keys, "_n", pr)
+             .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
+             .withColumn("_r", F.explode(F.array_distinct(F.array(
+                 F.floor("_pos").cast("long"), F.ceil("_pos").cast("long"))))))
+    picked = (c.join(ranks, keys)
+              .where((F.col("_r") < F.col("_cum")) & (F.col("_r") >= F.col("_cum") - F.col("_c")))
+              .select(*keys, "prob", "_pos", "_r", F.col(value).alias("_v")))
+    g = picked.groupBy(*keys, "prob", "_pos").agg(
+        F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
+        F.min("_r").alias("_rlo"), F.max("_r").alias("_rhi"))
+    val = F.when((F.col("_rlo") == F.col("_rhi")) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
+        (F.col("_rhi") - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - F.col("_rlo")) * F.col("_hi"))
+    return g.select(*keys, "prob", val.cast("double").alias("value"))
+
+
 def exact_median_row(df: DataFrame, columns: Sequence[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """One row with the exact median of each column (NULL when a column is all NULL)."""
     long_df = df.select(F.explode(F.array(*[

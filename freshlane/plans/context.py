@@ -18,8 +18,9 @@ _FEATURE_CACHE: dict = {}
 
 
 class Ctx(Retail):
-    def __init__(self, spark: SparkSession, sf_dir: str, config: Config | None = None):
-        super().__init__(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, config: Config | None = None,
+                 materialized: bool = True):
+        super().__init__(spark, sf_dir, materialized)
         self.config = config or Config()
 
     # ---- feature pipeline ---------------------------------------------------------
@@ -37,7 +38,9 @@ class Ctx(Retail):
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.config)
         hit = _FEATURE_CACHE.get(key)
         if hit is None:
-            raw = self.features_raw.checkpoint(eager=True)
+            from freshlane.sources.retail import materialize
+            raw = materialize(self.spark, (self.sf_dir, repr(self.config), "features_raw"),
+                              lambda: self.features_raw)
             hit = (raw, feature_medians(raw, self.config))
             _FEATURE_CACHE[key] = hit
         raw, med = hit
@@ -62,7 +65,7 @@ class Ctx(Retail):
             sp = L.time_split(self.daily_sales, self.config)
             lab = L.waste_labels(self.daily_sales)
             data = f.join(sp, ["store_id", "product_id", "date"]).join(lab, ["store_id", "product_id", "date"])
-            train = data.where("split = 'train'").checkpoint(eager=True)
+            train = data.where("split = 'train'").checkpoint(eager=True)  # reliable, shared folder
             demand = M.train_demand(train)
             hit = {"demand": demand, "leaves": M.leaf_quantiles(demand, train).checkpoint(eager=True),
                    "waste": M.train_waste(train), "data": data}

@@ -26,12 +26,16 @@ def _store_daily(ctx) -> DataFrame:
         F.sum("quantity_sold").alias("sold"), F.sum("units_wasted").alias("wasted"))
 
 
+def trailing_full_mean(df: DataFrame, keys: list[str], order: str, col: str, k: int) -> DataFrame:
+    """Mean of the last k rows including the current one; NULL until k rows exist (rolling(k))."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(k - 1), 0)
+    return df.withColumn("ma", F.when(F.count(col).over(w) == k, F.avg(col).over(w)))
+
+
 def waste_moving_avg(ctx) -> DataFrame:  # V1
     """7-row mean of daily waste including today; NULL until 7 rows exist."""
-    w = Window.partitionBy("store_id").orderBy("date").rowsBetween(-6, 0)
-    d = _store_daily(ctx)
-    return d.select("store_id", "date", F.col("wasted").cast("long"),
-                    F.round(F.when(F.count("wasted").over(w) == 7, F.avg("wasted").over(w)), 6).alias("waste_ma7"))
+    d = trailing_full_mean(_store_daily(ctx), ["store_id"], "date", "wasted", 7)
+    return d.select("store_id", "date", F.col("wasted").cast("long"), F.round("ma", 6).alias("waste_ma7"))
 
 
 def waste_by_weekday(ctx) -> DataFrame:  # V2

@@ -96,12 +96,45 @@ def visit_posts(events: DataFrame) -> DataFrame:
                     F.col("props").alias("payload_json")))
 
 
+_TABLES: dict = {}
+
+
+def materialize(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Write a derived table once per session as Parquet under the shared checkpoint
+    folder and serve every later query from it (column pruning, pushed filters, and
+    no lineage back to the raw scans). ``build`` returns the DataFrame to write."""
+    import hashlib
+    import os
+    import uuid
+
+    from freshlane.session import ensure_checkpoint_dir
+    full = (spark.sparkContext.applicationId, *key)
+    path = _TABLES.get(full)
+    if path is None:
+        tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
+        path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{key[-1]}-{tag}-{uuid.uuid4().hex[:8]}")
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[full] = path
+    return spark.read.parquet(path)
+
+
 class Retail:
-    """Lazily derived retail tables over one driver data folder."""
+    """Derived retail tables over one driver data folder.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``materialized=True`` (the default) the facts are derived once per
+    session and written as Parquet tables; ``False`` keeps every table a pure
+    plan over the raw scans (used to inspect the full physical plan).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialized: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialized = materialized
+
+    def _table(self, name: str, build) -> DataFrame:
+        if not self.materialized:
+            return build()
+        return materialize(self.spark, (self.sf_dir, name), build)
 
     def raw(self, name: str, *cols: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, *cols)
@@ -133,6 +166,9 @@ class Retail:
     @cached_property
     def products(self) -> DataFrame:
         """One product per (p_type, p_brand); at most 6 x 25 = 150 rows."""
+        return self._table("products", self._products)
+
+    def _products(self) -> DataFrame:
         pk = _part_keys(self.raw("part", "p_partkey", "p_type", "p_brand", "p_retailprice"))
         g = (pk.where(F.col("product_id").isNotNull())
              .groupBy("product_id", "category_id", "brand_no", "p_type", "p_brand")
@@ -160,10 +196,13 @@ class Retail:
 
     @cached_property
     def daily_sales(self) -> DataFrame:
-        return daily_from_lines(self.sales_lines())
+        return self._table("daily_sales", lambda: daily_from_lines(self.sales_lines()))
 
     @cached_property
     def inventory_snapshots(self) -> DataFrame:
+        return self._table("inventory_snapshots", self._inventory)
+
+    def _inventory(self) -> DataFrame:
         s = self.daily_sales
         doy = F.dayofyear("date")
         cat = X.idiv(F.col("product_id") - 1, F.lit(25)) + 1
