@@ -24,9 +24,27 @@ def series_window():
 
 
 def base_join(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """sales LEFT JOIN inventory (on-hand, expiry) on (store, product, date)."""
-    inv = inventory.select(*KEYS, "date", "quantity_on_hand", "days_until_expiry")
-    return sales.join(inv, [*KEYS, "date"], "left")
+    """sales LEFT JOIN inventory (on-hand, expiry) on (store, product, date).
+
+    Both tables hold at most one row per (store, product, date), so the left join
+    is computed inside the series window: union the two, order each series by
+    (date, inventory first) and take the previous row when it is the same day's
+    snapshot. This shares the single (store, product) exchange and date sort with
+    every lag / trailing window of F3..F7 instead of shuffling both sides on
+    (store, product, date) and then again on (store, product).
+    """
+    inv = inventory.select(*KEYS, "date", F.struct("quantity_on_hand", "days_until_expiry").alias("_inv"),
+                           F.lit(0).alias("_side"))
+    u = sales.withColumn("_side", F.lit(1)).unionByName(inv, allowMissingColumns=True)
+    w = Window.partitionBy(*KEYS).orderBy("date", "_side")
+    prev_date = F.lag("date", 1).over(w)
+    prev_inv = F.lag("_inv", 1).over(w)
+    same_day = (prev_date == F.col("date"))
+    out = (u.withColumn("_pinv", F.when(same_day, prev_inv))
+            .where(F.col("_side") == 1)
+            .withColumn("quantity_on_hand", F.col("_pinv.quantity_on_hand"))
+            .withColumn("days_until_expiry", F.col("_pinv.days_until_expiry")))
+    return out.drop("_side", "_inv", "_pinv")
 
 
 def add_temporal(df: DataFrame) -> DataFrame:
