@@ -8,7 +8,8 @@ import importlib
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for m in ("freshlane.oracle.dashboard_sql", "freshlane.oracle.feature_sql",
-              "freshlane.oracle.ops_sql", "freshlane.oracle.views_sql"):
+              "freshlane.oracle.ops_sql", "freshlane.oracle.views_sql",
+              "freshlane.oracle.ext_sql"):
         try:
             mod = importlib.import_module(m)
         except ModuleNotFoundError as e:

@@ -46,6 +46,12 @@ class Ctx(Retail):
         raw, med = hit
         return fill_missing(raw, self.config, medians=med)
 
+    @cached_property
+    def features_raw_table(self) -> DataFrame:
+        """F1..F7 as the materialised table shared with ``features`` (NULLs not filled)."""
+        from freshlane.sources.retail import materialize
+        return materialize(self.spark, (self.sf_dir, repr(self.config), "features_raw"), lambda: self.features_raw)
+
     @cached_property
     def features_raw(self) -> DataFrame:
         """F0 without the median fill (F1..F7)."""

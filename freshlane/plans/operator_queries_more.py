@@ -513,3 +513,47 @@ def _stream_daily_metrics(ctx):
 register("stream_site_visits", _stream_site_visits)
 register("stream_actuals", _stream_actuals)
 register("stream_daily_metrics", _stream_daily_metrics)
+
+
+# ---- extensions (X1..X10, documented in the reference, not coded there) -----------------------------------
+from freshlane.operators import extensions as X  # noqa: E402
+
+
+def _r6all(df, keep):
+    return df.select(*[F.round(c, 6).alias(c) if c not in keep else F.col(c) for c in df.columns])
+
+
+register("ext_rolling", lambda ctx: _r6all(X.ext_rolling(ctx.daily_sales), KEYS3))
+register("ext_trend", lambda ctx: _r6all(X.ext_trend(ctx.daily_sales), KEYS3))
+register("ext_holiday_distance", lambda ctx: X.ext_holiday_distance(ctx.daily_sales))
+register("ext_promo_day", lambda ctx: X.ext_promo_day(ctx.daily_sales))
+register("ext_supply", lambda ctx: _r6all(X.ext_supply(ctx.features_raw_table, ctx.inventory_snapshots),
+                                          KEYS3 + ["reorder_point_distance"]))
+register("ext_price_change", lambda ctx: _r6all(X.ext_price_change(ctx.daily_sales), KEYS3))
+
+
+def _ext_residual(ctx):
+    cut = L.split_cutoffs(ctx.daily_sales, ctx.config).select("c1").scalar()
+    return _r6all(X.ext_residual_interval(ctx.predictions, cut), KEYS3 + ["model_version"])
+
+
+register("ext_residual_interval", _ext_residual)
+register("ext_order_rules", lambda ctx: X.ext_order_rules(R.recommendation_inputs_daily(ctx)))
+
+
+def _ext_kl(ctx):
+    fs, cut, start = _drift_inputs(ctx)
+    return X.ext_kl(M.long_samples(fs, cut, start))
+
+
+register("ext_kl", _ext_kl)
+register("ext_volume", lambda ctx: X.ext_volume(ctx.daily_sales))
+register("ext_interval_width", lambda ctx: X.ext_interval_width(ctx.predictions))
+
+
+def _ext_baselines(ctx):
+    sp = L.time_split(ctx.daily_sales, ctx.config).where(F.col("split") == "test")
+    return X.ext_baselines(ctx.features_raw_table.join(sp, KEYS3, "left_semi"))
+
+
+register("ext_baselines", _ext_baselines)

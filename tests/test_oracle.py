@@ -14,6 +14,8 @@ KEYS = [
     "feedback_report", "retrain_triggers", "feature_store_projection", "record_actuals", "upsert_predictions",
     "waste_moving_avg", "waste_by_weekday", "daily_demand_totals", "recs_priority_tiers", "cumulative_savings",
     "expiry_histogram", "dq_duplicates", "dq_orphans", "dq_requests",
+    "ext_rolling", "ext_trend", "ext_holiday_distance", "ext_promo_day", "ext_price_change",
+    "ext_residual_interval", "ext_kl", "ext_interval_width", "ext_baselines",
 ]
 
 
