@@ -58,9 +58,9 @@ def train_demand(train: DataFrame, p: ModelParams | None = None) -> PipelineMode
                        featureSubsetStrategy=p.feature_subset, seed=p.seed)
     rf = RandomForestRegressor(featuresCol="features_vec", labelCol="label", predictionCol="p_rf",
                                numTrees=p.rf_trees, maxDepth=p.rf_depth, subsamplingRate=p.subsample,
-                               featureSubsetStrategy=p.feature_subset, seed=p.seed)
+                               featureSubsetStrategy=p.feature_subset, seed=p.seed, cacheNodeIds=True)
     tree = DecisionTreeRegressor(featuresCol="features_vec", labelCol="label", predictionCol="p_tree",
-                                 leafCol="leaf", maxDepth=p.interval_depth, seed=p.seed)
+                                 leafCol="leaf", maxDepth=p.interval_depth, seed=p.seed, cacheNodeIds=True)
     data = train.withColumn("label", F.col("quantity_sold").cast("double"))
     return Pipeline(stages=[assembler(), gbt, rf, tree]).fit(data)
 

@@ -60,36 +60,61 @@ class Ctx(Retail):
                               self.stores, fill=False, config=self.config)
 
     @cached_property
-    def ml(self) -> dict:
-        """Fitted Spark ML models on the L3 train split (kept for the session)."""
-        key = ("ml", self.spark.sparkContext.applicationId, self.sf_dir, self.config)
-        hit = _FEATURE_CACHE.get(key)
-        if hit is None:
-            from freshlane.operators import labels as L
-            from freshlane.operators import models as M
-            f = self.features
-            sp = L.time_split(self.daily_sales, self.config)
-            lab = L.waste_labels(self.daily_sales)
-            data = f.join(sp, ["store_id", "product_id", "date"]).join(lab, ["store_id", "product_id", "date"])
-            train = data.where("split = 'train'").checkpoint(eager=True)  # reliable, shared folder
-            demand = M.train_demand(train)
-            hit = {"demand": demand, "leaves": M.leaf_quantiles(demand, train).checkpoint(eager=True),
-                   "waste": M.train_waste(train), "data": data}
-            _FEATURE_CACHE[key] = hit
-        return hit
+    def ml(self) -> "_Models":
+        """Spark ML models on the L3 train split, each fitted on first use and kept for the session."""
+        return _Models(self)
 
     @cached_property
     def feature_store(self) -> DataFrame:
+        """The feature_store table (decimal projection), written once per session."""
         from freshlane.operators.state import feature_store_projection
-        return feature_store_projection(self.features)
+        return self._table(("feature_store", repr(self.config)), lambda: feature_store_projection(self.features))
 
     # ---- deterministic scorers and what is derived from them --------------------
+    # predictions and recommendations_log are tables in the reference's schema;
+    # they are materialised like the other facts.
     @cached_property
     def predictions(self) -> DataFrame:
         from freshlane.operators.scoring import predictions_table
-        return predictions_table(self.features, self.daily_sales, self.config)
+        return self._table(("predictions", repr(self.config)),
+                           lambda: predictions_table(self.features, self.daily_sales, self.config))
 
     @cached_property
     def recommendations_log(self) -> DataFrame:
         from freshlane.operators.rules import recommendations_log
-        return recommendations_log(self)
+        return self._table(("recommendations_log", repr(self.config)), lambda: recommendations_log(self))
+
+
+class _Models:
+    """Lazily fitted models: ``m["demand"]``, ``m["leaves"]``, ``m["waste"]``, ``m["data"]``."""
+
+    def __init__(self, ctx: "Ctx"):
+        self.ctx = ctx
+        self.key = ("ml", ctx.spark.sparkContext.applicationId, ctx.sf_dir, ctx.config)
+
+    def _get(self, name, build):
+        k = (*self.key, name)
+        if k not in _FEATURE_CACHE:
+            _FEATURE_CACHE[k] = build()
+        return _FEATURE_CACHE[k]
+
+    def __getitem__(self, name: str):
+        from freshlane.operators import labels as L
+        from freshlane.operators import models as M
+        keys = ["store_id", "product_id", "date"]
+        if name == "data":
+            def build():
+                c = self.ctx
+                sp = L.time_split(c.daily_sales, c.config)
+                lab = L.waste_labels(c.daily_sales)
+                return c.features.join(sp, keys).join(lab, keys)
+            return self._get("data", build)
+        if name == "train":
+            return self._get("train", lambda: self["data"].where("split = 'train'").checkpoint(eager=True))
+        if name == "demand":
+            return self._get("demand", lambda: M.train_demand(self["train"]))
+        if name == "leaves":
+            return self._get("leaves", lambda: M.leaf_quantiles(self["demand"], self["train"]).checkpoint(eager=True))
+        if name == "waste":
+            return self._get("waste", lambda: M.train_waste(self["train"]))
+        raise KeyError(name)

@@ -131,10 +131,11 @@ class Retail:
         self.sf_dir = sf_dir
         self.materialized = materialized
 
-    def _table(self, name: str, build) -> DataFrame:
+    def _table(self, name, build) -> DataFrame:
         if not self.materialized:
             return build()
-        return materialize(self.spark, (self.sf_dir, name), build)
+        parts = name if isinstance(name, tuple) else (name,)
+        return materialize(self.spark, (self.sf_dir, *parts[1:], parts[0]), build)
 
     def raw(self, name: str, *cols: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, *cols)
