@@ -12,6 +12,8 @@ def norm(v):
         return None
     if isinstance(v, float) and math.isnan(v):
         return None
+    if isinstance(v, float) and v == 0.0:
+        return 0.0
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, bool):

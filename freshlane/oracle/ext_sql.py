@@ -65,8 +65,8 @@ SQL: dict[str, str] = {
                     FROM daily_sales) a WINDOW w AS ({W})) t"""),
     "ext_residual_interval": with_features("""
         SELECT p.store_id, p.product_id, p.date, p.model_version,
-               round(CAST(p.predicted_demand AS DOUBLE) - abs(q.p10), 6) AS lower_bound,
-               round(CAST(p.predicted_demand AS DOUBLE) + abs(q.p90), 6) AS upper_bound
+               round(CAST(p.predicted_demand AS DOUBLE) - abs(q.p10), 6) + 0.0 AS lower_bound,
+               round(CAST(p.predicted_demand AS DOUBLE) + abs(q.p90), 6) + 0.0 AS upper_bound
         FROM predictions p JOIN (
           SELECT model_version, quantile_cont(r, 0.1) AS p10, quantile_cont(r, 0.9) AS p90 FROM (
             SELECT model_version, actual_demand - CAST(predicted_demand AS DOUBLE) AS r FROM predictions

@@ -377,7 +377,7 @@ SQL.update({
                round(avg(abs(p - y)), 6) AS mae,
                round(coalesce(avg(CASE WHEN y > 0 THEN abs(p - y) / y END), 0.0), 6) AS mape,
                round(CASE WHEN sum(y) <> 0 THEN sum(abs(p - y)) / sum(y) ELSE 0.0 END, 6) AS wape,
-               round(1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2
+               round(1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2
         FROM (SELECT model_version, CAST(actual_demand AS DOUBLE) AS y, CAST(predicted_demand AS DOUBLE) AS p
               FROM predictions WHERE actual_demand IS NOT NULL AND predicted_demand IS NOT NULL) t
         GROUP BY model_version""", PRED_CTES),
@@ -629,7 +629,7 @@ SQL.update({
                CAST(predicted_demand AS DOUBLE) AS predicted_demand,
                round(abs(CAST(predicted_demand AS DOUBLE) - actual_sold) / greatest(actual_sold, 1.0) * 100, 1)
                  AS error_pct,
-               round((CAST(predicted_demand AS DOUBLE) - actual_sold) / greatest(actual_sold, 1.0), 4)
+               round((CAST(predicted_demand AS DOUBLE) - actual_sold) / greatest(actual_sold, 1.0), 4) + 0.0
                  AS forecast_error
         FROM acts_in a JOIN (
           SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id, date

@@ -133,7 +133,7 @@ SQL: dict[str, str] = {
         FROM (SELECT store_id, sum(wasted) AS w FROM sdaily GROUP BY store_id) g,
              (SELECT unnest(range(5, 51, 5)) AS pct) t""", SDAILY),
     "forecast_kpis": with_features("""
-        SELECT p.store_id, round(k.mape, 6) AS mape, round(k.bias, 6) AS bias,
+        SELECT p.store_id, round(k.mape, 6) AS mape, round(k.bias, 6) + 0.0 AS bias,
                CAST(coalesce(k.n, 0) AS BIGINT) AS predictions, CAST(p.products AS BIGINT) AS products
         FROM (SELECT store_id, count(DISTINCT product_id) AS products FROM demand GROUP BY store_id) p
         LEFT JOIN (SELECT store_id, avg(abs(predicted - actual) / greatest(actual, 1)) AS mape,
