@@ -161,9 +161,16 @@ def stock_vs_reorder(ctx, k: int = 25) -> DataFrame:  # V13
 
 
 def _histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """Equal-width bins over each key's min..max (last bin closed); per-bin counts."""
-    st = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    j = df.join(F.broadcast(st), keys)
+    """Equal-width bins over each key's min..max (last bin closed); per-bin counts.
+
+    With keys the per-key bounds (one row per key) are broadcast; without keys
+    the two bounds are scalar subqueries (no join)."""
+    if keys:
+        st = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        j = df.join(F.broadcast(st), keys)
+    else:
+        b = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        j = df.withColumns({"lo": b.select("lo").scalar(), "hi": b.select("hi").scalar()})
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)))
     return j.groupBy(*keys, b.cast("int").alias("bin")).agg(
@@ -196,8 +203,8 @@ def accuracy_bands(ctx) -> DataFrame:  # V16
 
 
 def mape_histogram(ctx) -> DataFrame:  # V17
-    a = D.prediction_accuracy(ctx).where(F.col("mape").isNotNull()).withColumn("scope", F.lit("all"))
-    return _histogram(a, ["scope"], "mape", 25).drop("scope")
+    a = D.prediction_accuracy(ctx).where(F.col("mape").isNotNull())
+    return _histogram(a, [], "mape", 25)
 
 
 def alert_levels(ctx) -> DataFrame:  # V18
