@@ -156,6 +156,9 @@ class Retail:
 
     @cached_property
     def categories(self) -> DataFrame:
+        return self._table("categories", self._categories)
+
+    def _categories(self) -> DataFrame:
         cat = X.category_index("p_type")
         return (self.raw("part", "p_type").distinct()
                 .select(cat.cast("int").alias("category_id"), F.col("p_type").alias("name"))
