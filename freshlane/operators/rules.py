@@ -186,8 +186,8 @@ def recommendations_log(ctx) -> DataFrame:
         status.alias("status"),
         F.when(accepted, idiv(F.col("waste_reduction_units"), F.lit(2))).cast("int").alias("actual_waste_reduction"),
         F.when(accepted, F.floor(F.col("waste_cost_saved_usd") / 2)).cast(MONEY).alias("actual_cost_saved_usd"),
-        (F.col("date").cast("timestamp") + F.make_interval(mins=F.col("priority"))).alias("created_at"),
-        F.lit(None).cast("timestamp").alias("responded_at"))
+        (F.col("date").cast("timestamp_ntz") + F.make_interval(mins=F.col("priority"))).alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("responded_at"))
 
 
 # ---- waste-risk route (C1..C3) -----------------------------------------------------------

@@ -87,5 +87,5 @@ def predictions_table(features: DataFrame, sales: DataFrame, config: Config | No
                     risk_tier(F.col("risk")).alias("waste_risk_tier"),
                     "actual_demand",
                     F.when(F.col("actual_demand").isNotNull(), err).cast(DEC).alias("forecast_error"),
-                    (F.col("date").cast("timestamp") + F.make_interval(hours=F.col("h")))
+                    (F.col("date").cast("timestamp_ntz") + F.make_interval(hours=F.col("h")))
                     .alias("created_at")))

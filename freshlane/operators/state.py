@@ -158,3 +158,22 @@ def site_visit_normalize(raw: DataFrame, ua_limit: int = 256, ref_limit: int = 5
                       F.substring(ua, 1, ua_limit).alias("user_agent"),
                       F.substring(ref, 1, ref_limit).alias("referrer"),
                       F.col("payload_json"))
+
+
+def train_metrics_row(demand_metrics: DataFrame, waste_metrics: DataFrame, baselines: DataFrame,
+                      elapsed_sec: float) -> DataFrame:
+    """The one-row training summary (demand MAPE / RMSE, waste AUC / F1, naive lag-7 MAPE)."""
+    d = demand_metrics.where(F.col("model") == "ensemble")
+    nl = demand_metrics.where(F.col("model") == "naive_lag7")
+    w = waste_metrics.where(F.col("split") == "test")
+    one = d.select(F.col("mape").alias("demand_mape"), F.col("rmse").alias("demand_rmse"))
+    return one.select(
+        "demand_mape", "demand_rmse",
+        w.select("auc_roc").scalar().alias("waste_auc"), w.select("f1").scalar().alias("waste_f1"),
+        nl.select("mape").scalar().alias("naive_lag7_mape"),
+        F.lit(round(float(elapsed_sec), 3)).alias("elapsed_sec"))
+
+
+def write_metrics_json(row: DataFrame, path: str) -> None:
+    """S11 sink: one JSON object (single output file: the frame has one row)."""
+    row.coalesce(1).write.mode("overwrite").json(path)
