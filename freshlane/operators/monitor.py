@@ -31,17 +31,21 @@ def long_samples(fs: DataFrame, train_cut: Column, recent_start: Column,
             .select("kv.feature", "sample", "kv.v"))
 
 
-def psi(long_df: DataFrame, bins: int = 10) -> DataFrame:
+def value_counts(long_df: DataFrame) -> DataFrame:
+    """(feature, v, c1 = train rows, c2 = recent rows): the one aggregation PSI and KS share."""
+    return long_df.groupBy("feature", "v").agg(F.count_if(F.col("sample") == "train").alias("c1"),
+                                               F.count_if(F.col("sample") == "recent").alias("c2"))
+
+
+def psi(long_df: DataFrame, bins: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """PSI per feature, equal-width bins over the joint min..max (last bin closed)."""
-    stats = long_df.groupBy("feature").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.count_if(F.col("sample") == "train").alias("n_e"),
-        F.count_if(F.col("sample") == "recent").alias("n_a"))
+    c = counts if counts is not None else value_counts(long_df)
+    stats = c.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                     F.sum("c1").alias("n_e"), F.sum("c2").alias("n_a"))
     b = F.least(F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    binned = (long_df.join(F.broadcast(stats), "feature").where(F.col("hi") > F.col("lo"))
+    binned = (c.join(F.broadcast(stats), "feature").where(F.col("hi") > F.col("lo"))  # one row per feature
               .groupBy("feature", b.cast("int").alias("bin"))
-              .agg(F.count_if(F.col("sample") == "train").alias("c_e"),
-                   F.count_if(F.col("sample") == "recent").alias("c_a")))
+              .agg(F.sum("c1").alias("c_e"), F.sum("c2").alias("c_a")))
     grid = stats.where(F.col("hi") > F.col("lo")).select(
         "feature", "n_e", "n_a", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     j = grid.join(binned, ["feature", "bin"], "left")
@@ -61,10 +65,9 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(d <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * s)))
 
 
-def ks(long_df: DataFrame) -> DataFrame:
+def ks(long_df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """R2: KS statistic max |F1 - F2| over the pooled distinct values, and its p-value."""
-    c = long_df.groupBy("feature", "v").agg(F.count_if(F.col("sample") == "train").alias("c1"),
-                                             F.count_if(F.col("sample") == "recent").alias("c2"))
+    c = counts if counts is not None else value_counts(long_df)
     cum = prefix_sums(c, ["feature"], "v", ["c1", "c2"])
     g = cum.groupBy("feature").agg(
         F.max(F.abs(F.col("cum_c1") / F.col("all_c1") - F.col("cum_c2") / F.col("all_c2"))).alias("d"),
@@ -80,9 +83,10 @@ def drift_report(fs: DataFrame, train_cut: Column, recent_start: Column, config:
     config = config or Config()
     thr = config.psi_threshold or Config().psi_threshold
     ld = long_samples(fs, train_cut, recent_start, features)
-    counts = ld.groupBy("feature").agg(F.count_if(F.col("sample") == "train").alias("n_train"),
-                                       F.count_if(F.col("sample") == "recent").alias("n_recent"))
-    j = counts.join(psi(ld, config.psi_bins), "feature", "left").join(ks(ld), "feature", "left")
+    vc = value_counts(ld)  # one aggregation of the long samples, shared by counts, PSI and KS
+    counts = vc.groupBy("feature").agg(F.sum("c1").alias("n_train"), F.sum("c2").alias("n_recent"))
+    j = (counts.join(psi(ld, config.psi_bins, vc), "feature", "left")
+         .join(ks(ld, vc), "feature", "left"))
     enough = (F.col("n_train") >= config.drift_min_rows) & (F.col("n_recent") >= config.drift_min_rows)
     p4, k4, pv4 = F.round("psi", 4), F.round("ks_statistic", 4), F.round("p", 4)
     return j.select(

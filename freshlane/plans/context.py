@@ -106,7 +106,8 @@ class _Models:
             def build():
                 c = self.ctx
                 sp = L.time_split(c.daily_sales, c.config)
-                lab = L.waste_labels(c.daily_sales)
+                lab = (L.waste_labels_forward(c.daily_sales) if c.config.waste_training_label == "forward"
+                       else L.waste_labels(c.daily_sales))
                 return c.features.join(sp, keys).join(lab, keys)
             return self._get("data", build)
         if name == "train":
