@@ -736,3 +736,8 @@ SQL.update({
                CAST(sum(units_wasted) AS BIGINT) AS wasted
         FROM daily_sales GROUP BY store_id, date"""),
 })
+
+SQL["scan_daily_sales"] = with_features("""
+    SELECT store_id, product_id, date, quantity_sold, CAST(revenue AS DOUBLE) AS revenue, units_wasted, units_donated,
+           temperature_avg, is_holiday, is_promotion, promotion_discount, day_of_week
+    FROM daily_sales""")

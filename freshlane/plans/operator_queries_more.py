@@ -557,3 +557,10 @@ def _ext_baselines(ctx):
 
 
 register("ext_baselines", _ext_baselines)
+
+
+# ---- S1: the training extract (daily_sales as stored; windows sort themselves, so no ORDER BY) ---------------
+register("scan_daily_sales", lambda ctx: ctx.daily_sales.select(
+    "store_id", "product_id", "date", "quantity_sold", F.col("revenue").cast("double").alias("revenue"),
+    "units_wasted", "units_donated", "temperature_avg", "is_holiday", "is_promotion", "promotion_discount",
+    "day_of_week"))
