@@ -1,10 +1,10 @@
 """State changes as DataFrame rewrites (S3..S12, I4).
 
-Parquet has no row-level MERGE, so upserts are key-dedup rewrites: union the
-existing rows with the new ones and keep, per key, the newest version
-(``max_by`` over a priority) — one shuffle on the key, no full-table join
-cascade. Writes go to a new folder that is swapped in afterwards; a path is
-never overwritten while it is being read.
+Parquet has no row-level MERGE, so an upsert is a rewrite: a full outer join
+of the existing rows and the new ones on the key (one shuffle on the key),
+taking the new value columns where a new row exists and keeping the old
+created_at / actuals. The result is written to a new folder and swapped in;
+a path is never overwritten while it is being read.
 """
 
 from __future__ import annotations

@@ -741,3 +741,13 @@ SQL["scan_daily_sales"] = with_features("""
     SELECT store_id, product_id, date, quantity_sold, CAST(revenue AS DOUBLE) AS revenue, units_wasted, units_donated,
            temperature_avg, is_holiday, is_promotion, promotion_discount, day_of_week
     FROM daily_sales""")
+
+SQL["recommendations_nested"] = with_features("""
+    SELECT store_id, product_id, date, round(CAST(any_value(waste_risk_score) AS DOUBLE), 3) AS waste_risk_score,
+           """ + TIER.format(r="any_value(waste_risk_score)") + """ AS waste_risk_tier,
+           to_json(list({'priority': priority, 'action': action, 'description': description,
+                         'waste_reduction_units': waste_reduction_units,
+                         'revenue_impact_usd': CAST(revenue_impact_usd AS DOUBLE),
+                         'waste_cost_saved_usd': CAST(waste_cost_saved_usd AS DOUBLE),
+                         'confidence': CAST(confidence AS DOUBLE)} ORDER BY priority)) AS recommendations_json
+    FROM rrank GROUP BY store_id, product_id, date""", REC_CTES)

@@ -164,7 +164,9 @@ register("recommendation_inputs_daily", lambda ctx: R.recommendation_inputs_dail
     *KEYS3, _money("predicted_demand"), _money("waste_risk_score"), "current_stock", "days_until_expiry"))
 register("recommendation_counts", lambda ctx: R.recommendations_daily(ctx).groupBy("action")
          .agg(F.count(F.lit(1)).cast("long").alias("n")))
-register("recommendations_nested", lambda ctx: R.recommendations_nested(R.recommendations_daily(ctx)))
+register("recommendations_nested", lambda ctx: R.recommendations_nested(R.recommendations_daily(ctx)).select(
+    *KEYS3, "waste_risk_score", "waste_risk_tier",
+    F.to_json("recommendations").alias("recommendations_json")))  # the API's JSON payload
 
 
 def _log_out(ctx):
