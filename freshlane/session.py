@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "freshlane") -> SparkSession:
+                app_name: str = "freshlane", extra: dict | None = None) -> SparkSession:
     """Session tuned for this workload: UTC, AQE with skew-join, UI off.
 
     On a cluster ``master`` stays None and the cluster's own settings win;
@@ -28,6 +28,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("FRESHLANE_DRIVER_MEM", "8g"))
     spark = b.getOrCreate()
