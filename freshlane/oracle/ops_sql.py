@@ -749,5 +749,6 @@ SQL["recommendations_nested"] = with_features("""
                          'waste_reduction_units': waste_reduction_units,
                          'revenue_impact_usd': CAST(revenue_impact_usd AS DOUBLE),
                          'waste_cost_saved_usd': CAST(waste_cost_saved_usd AS DOUBLE),
-                         'confidence': CAST(confidence AS DOUBLE)} ORDER BY priority)) AS recommendations_json
+                         'confidence': CAST(confidence AS DOUBLE)} ORDER BY priority)) :: VARCHAR
+             AS recommendations_json
     FROM rrank GROUP BY store_id, product_id, date""", REC_CTES)

@@ -129,7 +129,7 @@ SQL: dict[str, str] = {
               FROM sdaily GROUP BY store_id) t""", SDAILY),
     "savings_projection": with_features("""
         SELECT store_id, CAST(t.pct AS INTEGER) AS target_pct, CAST(trunc(w * t.pct / 100) AS BIGINT) AS saved_units,
-               round(CAST(trunc(w * t.pct / 100) AS BIGINT) * 3.5, 6) AS saved_cost
+               CAST(round(CAST(trunc(w * t.pct / 100) AS BIGINT) * 3.5, 6) AS DOUBLE) AS saved_cost
         FROM (SELECT store_id, sum(wasted) AS w FROM sdaily GROUP BY store_id) g,
              (SELECT unnest(range(5, 51, 5)) AS pct) t""", SDAILY),
     "forecast_kpis": with_features("""
