@@ -105,7 +105,7 @@ def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
             out.append(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c != "waste_risk_tier"
                        else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         elif c == "created_at":
-            out.append(F.coalesce(F.col("o.created_at"), F.current_timestamp()).alias(c))
+            out.append(F.coalesce(F.col("o.created_at"), F.localtimestamp()).alias(c))
         else:
             out.append(F.col(f"o.{c}").alias(c))
     return j.select(*out)
