@@ -48,9 +48,10 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
 
 
 def idiv(a: str | Column, b: str | Column) -> Column:
-    """Floor division of integers (b > 0), exact: (a - pmod(a, b)) / b."""
+    """Floor division of integers (b > 0), exact for any long: (a - pmod(a, b)) is a
+    multiple of b, so the DECIMAL(38,0) division has no remainder to round."""
     a, b = col(a).cast("long"), col(b).cast("long")
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return ((a - F.pmod(a, b)).cast("decimal(38,0)") / b.cast("decimal(38,0)")).cast("long")
 
 
 def pct1(num: str | Column, den: str | Column) -> Column:
@@ -76,7 +77,17 @@ def ratio6(num: str | Column, den: str | Column) -> Column:
 
 
 def round6(c: str | Column) -> Column:
-    return F.round(col(c).cast("double"), 6)
+    """Round a double to 6 dp in binary: nearest integer of x * 10^6, halves away from
+    zero, then / 10^6. (Spark's round(x, 6) rounds the shortest decimal repr instead,
+    which differs from SQL engines on values like 41/640 that print as a tie.)"""
+    return F.round(col(c).cast("double") * F.lit(1e6)) / F.lit(1e6)
+
+
+def to_dec(c: str | Column, precision: int, scale: int) -> Column:
+    """double -> DECIMAL(precision, scale), rounding in binary like round6."""
+    m = 10 ** scale
+    q = F.round(col(c).cast("double") * F.lit(float(m)))
+    return (q.cast(f"decimal({precision},0)") / F.lit(m)).cast(f"decimal({precision},{scale})")
 
 
 def risk_tier(score: str | Column) -> Column:

@@ -127,12 +127,17 @@ def exact_percentiles(long_df: DataFrame, keys: Sequence[str], value: str, probs
     g = picked.groupBy(*keys, "prob", "_pos").agg(
         F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
         F.min("_r").alias("_rlo"), F.max("_r").alias("_rhi"))
-    # same interpolation as SQL percentile: (hi_pos - pos) * lo + (pos - lo_pos) * hi
-    val = F.when((F.col("_rlo") == F.col("_rhi")) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
-        (F.col("_rhi") - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - F.col("_rlo")) * F.col("_hi"))
+    val = _interpolate()
     return g.select(*keys, "prob", val.cast("double").alias("value"))
 
 
+def _interpolate() -> Column:
+    """Linear interpolation between the ranks around p*(n-1): lo + (hi - lo) * frac
+    (the form SQL engines and numpy use, so results agree to the last bit)."""
+    return F.when((F.col("_rlo") == F.col("_rhi")) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.col("_rlo")))
+
+
 def _percentiles_direct(counts: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Same result as the bucketed path when each key's distinct values fit one task."""
     w = Window.partitionBy(*keys).orderBy(value)
@@ -149,8 +154,7 @@ def _percentiles_direct(counts: DataFrame, keys: list[str], value: str, probs: S
     g = picked.groupBy(*keys, "prob", "_pos").agg(
         F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"),
         F.min("_r").alias("_rlo"), F.max("_r").alias("_rhi"))
-    val = F.when((F.col("_rlo") == F.col("_rhi")) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
-        (F.col("_rhi") - F.col("_pos")) * F.col("_lo") + (F.col("_pos") - F.col("_rlo")) * F.col("_hi"))
+    val = _interpolate()
     return g.select(*keys, "prob", val.cast("double").alias("value"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshlane.functions.exprs import idiv, markdown_pct, risk_tier
+from freshlane.functions.exprs import idiv, markdown_pct, risk_tier, to_dec
 from freshlane.operators.asof import latest_by, nearest
 
 KEYS = ["store_id", "product_id"]
@@ -49,8 +49,8 @@ def route_excess(stock: Column, demand: Column) -> Column:
 def _finish_inputs(j: DataFrame) -> DataFrame:
     return j.select(
         *KEYS, "date", "product_name", "unit_price", "cost_price",
-        F.col("predicted_demand").cast("decimal(16,6)").alias("predicted_demand"),
-        F.col("risk").cast("decimal(16,6)").alias("waste_risk_score"),
+        to_dec(F.col("predicted_demand"), 16, 6).alias("predicted_demand"),
+        to_dec(F.col("risk"), 16, 6).alias("waste_risk_score"),
         F.coalesce(F.col("quantity_on_hand"), F.lit(0)).cast("int").alias("current_stock"),
         F.when(F.col("inv_date").isNull(), F.lit(7))
          .otherwise(F.coalesce(F.nullif(F.col("days_until_expiry"), F.lit(0)), F.lit(7)))

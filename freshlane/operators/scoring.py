@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshlane.config import Config
-from freshlane.functions.exprs import risk_tier
+from freshlane.functions.exprs import risk_tier, to_dec
 
 DEC = "decimal(16,6)"
 
@@ -42,9 +42,9 @@ def score_frame(features: DataFrame, config: Config | None = None) -> DataFrame:
     lo, hi = demand_bounds(config.interval_z)
     return features.select(
         "store_id", "product_id", "date",
-        demand_point(features).cast(DEC).alias("predicted_demand"),
-        lo.cast(DEC).alias("confidence_lower"), hi.cast(DEC).alias("confidence_upper"),
-        waste_score().cast(DEC).alias("waste_risk_score"),
+        to_dec(demand_point(features), 16, 6).alias("predicted_demand"),
+        to_dec(lo, 16, 6).alias("confidence_lower"), to_dec(hi, 16, 6).alias("confidence_upper"),
+        to_dec(waste_score(), 16, 6).alias("waste_risk_score"),
         risk_tier(waste_score()).alias("waste_risk_tier"))
 
 
@@ -76,14 +76,14 @@ def predictions_table(features: DataFrame, sales: DataFrame, config: Config | No
           .select("*", F.lit("v2").alias("model_version"), F.col("p2").alias("p"), F.lit(7).alias("h")))
     u = v1.unionByName(v2)
     actual = F.when(F.col("date") <= F.date_sub(last, 3), F.col("quantity_sold"))
-    pred = F.col("p").cast(DEC)
+    pred = to_dec(F.col("p"), 16, 6)
     err = forecast_error(pred, F.col("actual_demand"))
     return (u.withColumn("actual_demand", actual.cast("int"))
             .select("store_id", "product_id", "date", "model_version",
                     pred.alias("predicted_demand"),
-                    F.col("lo").cast(DEC).alias("confidence_lower"),
-                    F.col("hi").cast(DEC).alias("confidence_upper"),
-                    F.col("risk").cast(DEC).alias("waste_risk_score"),
+                    to_dec(F.col("lo"), 16, 6).alias("confidence_lower"),
+                    to_dec(F.col("hi"), 16, 6).alias("confidence_upper"),
+                    to_dec(F.col("risk"), 16, 6).alias("waste_risk_score"),
                     risk_tier(F.col("risk")).alias("waste_risk_tier"),
                     "actual_demand",
                     F.when(F.col("actual_demand").isNotNull(), err).cast(DEC).alias("forecast_error"),

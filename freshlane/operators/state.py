@@ -46,9 +46,17 @@ def exact_margin4() -> "F.Column":
 
 def feature_store_projection(features: DataFrame) -> DataFrame:
     """S3: keys + the 35 features in the feature store's column types."""
-    return features.select(*KEYS3, *[
-        (exact_margin4() if c == "margin_pct" else F.col(c).cast(FEATURE_STORE_TYPES[c])).alias(c)
-        for c in FEATURE_COLUMNS])
+    from freshlane.functions.exprs import to_dec
+
+    def conv(c):
+        t = FEATURE_STORE_TYPES[c]
+        if c == "margin_pct":
+            return exact_margin4()
+        if t.startswith("decimal"):
+            p_, s_ = (int(x) for x in t[8:-1].split(","))
+            return to_dec(F.col(c), p_, s_)
+        return F.col(c).cast(t)
+    return features.select(*KEYS3, *[conv(c).alias(c) for c in FEATURE_COLUMNS])
 
 
 def save_features(features: DataFrame, path: str, mode: str = "overwrite") -> int:

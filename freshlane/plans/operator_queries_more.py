@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from freshlane.functions import exprs as X_
 from freshlane.functions.exprs import round6
 from freshlane.operators import asof as A
 from freshlane.operators import labels as L
@@ -199,7 +200,7 @@ register("business_cost", lambda ctx: E.business_cost(
 def _waste_eval(ctx):
     """Per row: L1 label, waste score (6 dp), split, filled lags, target."""
     f = ctx.features.select(*KEYS3, "quantity_sold", "sales_lag_1d", "sales_lag_7d",
-                            S.waste_score().cast("decimal(16,6)").cast("double").alias("score"))
+                            X_.to_dec(S.waste_score(), 16, 6).cast("double").alias("score"))
     lab = L.waste_labels(ctx.daily_sales).withColumnRenamed("waste_label", "label")
     sp = L.time_split(ctx.daily_sales, ctx.config)
     return f.join(lab, KEYS3).join(sp, KEYS3)
