@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshlane.llm import langid, packing, tokens, winnow
+from freshlane.llm import langid, near_dup, packing, tokens, winnow
 from freshlane.llm.common import read_documents
 
 
@@ -14,6 +14,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_digest(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(read_documents(spark, sf_dir, "doc_id", "text", "lang"))
 
@@ -29,6 +33,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_winnowing": op4_winnowing,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_language_mixture": op6_language_mixture,
         "op7_packing": op7_packing,
         "op10_token_counts": op10_token_counts,
