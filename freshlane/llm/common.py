@@ -49,7 +49,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; null and word-less texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
+    inner = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_RUN))
 
 
 def text_key(text: Column) -> Column:

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshlane.llm import langid, near_dup, packing, tokens, winnow
+from freshlane.llm import langid, near_dup, packing, quality, tokens, winnow
 from freshlane.llm.common import read_documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(read_documents(spark, sf_dir, "doc_id", "text"), labels(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "score")
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_digest(read_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -32,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op4_winnowing": op4_winnowing,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_language_mixture": op6_language_mixture,
