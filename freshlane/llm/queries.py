@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshlane.llm import langid, near_dup, packing, quality, tokens, winnow
+from freshlane.llm import langid, near_dup, packing, private, quality, tokens, winnow
 from freshlane.llm.common import read_documents
 
 
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept", "score")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.span_digest(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_digest(read_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -43,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_personal_data": op2_personal_data,
         "op4_winnowing": op4_winnowing,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_language_mixture": op6_language_mixture,
