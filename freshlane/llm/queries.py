@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshlane.llm import langid, mixing, near_dup, packing, private, quality, tokens, winnow
+from freshlane.llm import langid, mixing, near_dup, packing, private, quality, secrets, tokens, winnow
 from freshlane.llm.common import read_documents
 
 
@@ -44,6 +44,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(read_documents(spark, sf_dir, "doc_id", "text"), mixing.label_domains(labels(spark, sf_dir)))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_mixture": op6_language_mixture,
         "op7_packing": op7_packing,
         "op8_mixing": op8_mixing,
+        "op9_secret_scan": op9_secret_scan,
         "op10_token_counts": op10_token_counts,
     }
 
