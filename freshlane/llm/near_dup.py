@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshlane.llm.common import SPACE_RUN, text_key, written
-from freshlane.llm.graph import connected_components
+from freshlane.llm.graph import connected_components, links_within_buckets
 from freshlane.llm.tokens import slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -159,47 +159,13 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int)
     return joined.mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
 
 
-def near_duplicate_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
-                         shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (a, b, similarity) that connect all nodes linked inside any band bucket."""
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    sized = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"))
-    shared = sized.where("centre <> other").select("key", "centre")
-    members = written(buckets.join(shared, "key"), "buckets")
-    first = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = written(verified(first, docs, similarity, shingle), "links-first")
-
-    def unsettled(links):
-        """Members of the buckets that hold nodes of several components, with their root."""
-        roots = connected_components(links)
-        open_ = (members.join(roots, "node", "left")
-                 .select("key", "node", "centre", F.coalesce("root", "node").alias("root")))
-        mixed = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        return written(open_.join(mixed.select("key"), "key", "left_semi"), "unsettled")
-
-    rest = unsettled(links)
-    degree = (links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
-              .withColumnRenamed("count", "links"))
-    ranked = rest.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    second = ranked.groupBy("key").agg(F.max(F.struct("links", "node", "root")).alias("c"))
-    pairs = (rest.join(second.select("key", F.col("c.node").alias("c"), F.col("c.root").alias("croot")), "key")
-             .where("root <> croot AND c <> centre AND node <> centre"))
-    pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    links = written(links.unionByName(verified(pairs, docs, similarity, shingle)), "links-second")
-
-    rest = unsettled(links)
-    left, right = rest.alias("l"), rest.alias("r")
-    pairs = (left.join(right, F.expr("l.key = r.key AND l.root < r.root AND l.node <> l.centre AND r.node <> r.centre"))
-             .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
-    return links.unionByName(verified(pairs, docs, similarity, shingle))
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), class_size, kept (doc_id is class_id) per row."""
     signed = written(signatures(docs, bands, rows, shingle), "signatures")
     nodes = signed.where("size(keys) > 0").select("node", "keys").dropDuplicates(["node"])
-    links = written(near_duplicate_links(nodes, docs, similarity, shingle), "links")
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    links = links_within_buckets(buckets, lambda pairs: verified(pairs, docs, similarity, shingle))
     roots = connected_components(links)
     of_node = (signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
                .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

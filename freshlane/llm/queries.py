@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshlane.llm import langid, mixing, near_dup, packing, private, quality, secrets, tokens, winnow
+from freshlane.llm import langid, line_dedup, mixing, near_dup, packing, private, quality, secrets, tokens, winnow
 from freshlane.llm.common import read_documents
 
 
@@ -24,6 +24,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.span_digest(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_digest(read_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_personal_data": op2_personal_data,
+        "op3_line_dedup": op3_line_dedup,
         "op4_winnowing": op4_winnowing,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_language_mixture": op6_language_mixture,
