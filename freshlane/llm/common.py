@@ -53,6 +53,16 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_RUN))
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """``__row`` (all columns of ``docs``), doc_id, text: no column added later can clash with one of ``docs``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``packed_rows`` again, with some replaced."""
+    return rows.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in columns])
+
+
 def text_key(text: Column) -> Column:
     """16-byte identity of a text (null stays null); equal texts have equal keys."""
     return F.unhex(F.md5(text))

@@ -23,18 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshlane.llm.common import words, written
+from freshlane.llm.common import packed_rows, unpacked, words, written
 from freshlane.llm.quality import PUNCTUATION
 
 BUCKETS = 65536
 MAX_LABELLED = 20_000
-#: Tokens of background added to each domain, per bucket: keeps rare buckets from deciding.
-BACKGROUND = 5
+#: Tokens of background (all labelled documents) added to each domain, times its own: keeps rare buckets from deciding.
+BACKGROUND = 0.5
 #: A bucket speaks for a domain only if as many standard deviations lie between the domain's documents that
 #: hold it and what the share of all labelled documents lets expect.
-MIN_Z = 6.0
+MIN_Z = 8.0
 STEPS = 60
-TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
+TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -68,14 +68,13 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int
     counts = written(counts, "buckets")
     tokens = list(counts.agg(*[F.coalesce(F.sum(n), F.lit(0)) for _, n, _ in each]).first())
     documents = [known.get(d, 0) for d in domains]
-    mass = float(BACKGROUND * buckets)
     all_n = sum((F.col(n) for _, n, _ in each[1:]), F.col("n0"))
     all_f = sum((F.col(f) for _, _, f in each[1:]), F.col("f0"))
     back = (all_n + 1.0) / float(sum(tokens) + buckets)
     usual = all_f / float(max(1, sum(documents)))
     z = F.greatest(*[F.abs(F.col(f) - usual * m) / F.sqrt(F.lit(1.0) + usual * m * (1 - usual))
                      for (_, _, f), m in zip(each, documents)], F.lit(0.0))
-    weights = F.struct(*[F.ln((F.col(n) + mass * back) / (t + mass) / back).alias(f"d{i}")
+    weights = F.struct(*[F.ln((F.col(n) + BACKGROUND * max(1, t) * back) / ((1 + BACKGROUND) * max(1, t)) / back).alias(f"d{i}")
                          for i, ((_, n, _), t) in enumerate(zip(each, tokens))])
     telling = counts.where(z >= MIN_Z).select("bucket", weights.alias("w"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(telling, "bucket", "left")
@@ -98,7 +97,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, known: dict[str, int], domai
     shares = [F.coalesce(F.exp(x - top), F.lit(0.0)) for x in logs]
     whole = sum(shares[1:], shares[0])
     return scored.select("doc_id", "n_tokens", *[
-        F.coalesce(F.round(1000 * s / whole), F.lit(0)).cast("int").alias(f"m{i}") for i, s in enumerate(shares)])
+        F.when(whole > 0, F.round(1000 * s / whole)).otherwise(0).cast("int").alias(f"m{i}") for i, s in enumerate(shares)])
 
 
 def rate(steps: list[list[float]], max_rate: float) -> Column:
@@ -141,16 +140,20 @@ def fit_steps(members: DataFrame, targets: list[float], max_rate: float, steps:
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, max_rate: float = 1.0,
                  max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> for each domain, rate and copies (the rate rounded up or down by a hash of
-    the id, so that the expected copies are the rate) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_tokens, p_<domain> for each domain, rate and copies of every row of ``docs`` (doc_id, text).
+
+    Copies are the rate's whole part, and one more if its fraction is a half or more (a document rather wanted than
+    not stays), or else with the fraction as the chance, by a hash of the id.
+    """
     targets = targets or TARGETS
     domains = sorted(targets)
     weights, known = train(docs, labelled, domains, max_labelled=max_labelled)
     members = written(posteriors(docs, weights, known, domains), "posteriors")
     steps = fit_steps(members, [targets[d] for d in domains], max_rate) if known else []
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    part = F.col("rate") - F.floor("rate")
     return (members.withColumn("rate", rate(steps, max_rate))
-            .withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+            .withColumn("copies", (F.floor("rate") + F.when((part >= 0.5) | (chance < part), 1).otherwise(0)).cast("int"))
             .select("doc_id", "n_tokens", *[(F.col(f"m{i}") / 1000).alias(f"p_{d}") for i, d in enumerate(domains)],
                     "rate", "copies"))
 
@@ -160,6 +163,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
     found = written(mixing_rates(docs, labelled, **options).select("doc_id", "copies"), "copies")
     changed = (found.groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies <> 1")
                .withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(changed.hint("shuffle_hash"), F.expr("doc_id <=> __id"), "left")
+    joined = packed_rows(docs).join(changed.hint("shuffle_hash"), F.expr("doc_id <=> __id"), "left")
     copies = F.coalesce("__copies", F.lit(1))
-    return (joined.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns))
+    return unpacked(joined.select("__row", F.explode(F.array_repeat(F.lit(1), copies))), docs.columns)

@@ -154,7 +154,7 @@ def disclosing_terms(docs: DataFrame, spotted: DataFrame, reach: int = REACH, mi
     counts = written(every.groupBy(F.when(may_be(maybe, F.col("term")), F.col("term")).alias("term"))
                      .agg(F.count("*").alias("n_t")), "terms")
     total = counts.agg(F.sum("n_t").cast("double")).scalar()
-    share = F.ln(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c"))) / F.ln(total / F.col("n_c"))
+    share = F.try_divide(F.ln(F.col("n_tc") * total / (F.col("n_t") * F.col("n_c"))), F.ln(total / F.col("n_c")))
     return (pairs.join(counts, "term").withColumn("share", share).groupBy("term").agg(F.max("share").alias("share"))
             .where(F.col("share") >= generalise)
             .withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise")))

@@ -107,7 +107,8 @@ def gram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smo
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` (all columns but text, which is dropped) with the base columns, score and kept."""
+    """doc_id, the base columns, score and kept of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
     weights = gram_weights(docs, labels, buckets).scalar()
     base = base_rules(docs).withColumn("__row", F.monotonically_increasing_id())
     found = grams(base, buckets)
@@ -121,7 +122,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buc
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
+    """The rows of ``docs`` that are kept, with their own columns (a repeated id: if one of its texts is; a null id: always)."""
     verdicts = judged(docs.select("doc_id", "text"), labels, threshold, buckets)
-    bad = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(bad, docs["doc_id"] == F.col("__id"), "left_anti")

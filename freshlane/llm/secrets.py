@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshlane.llm.common import written
+from freshlane.llm.common import packed_rows, unpacked, written
 from freshlane.llm.private import matches, may_be, term_filter
 
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9+/_.-]))[A-Za-z0-9+/_.-]{15,}[A-Za-z0-9+/_-]={0,2}"
@@ -115,5 +115,5 @@ def redacted(docs: DataFrame, findings: DataFrame) -> DataFrame:
     spans = (findings.where("secret").groupBy(F.col("doc_id").alias("__id"))
              .agg(F.sort_array(F.collect_set("value"), asc=False).alias("__v")))         # values of one document
     text = F.aggregate("__v", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))
-    joined = docs.join(spans, F.expr("doc_id <=> __id"), "left")
-    return joined.withColumn("text", F.when(F.col("__v").isNotNull(), text).otherwise(F.col("text"))).select(docs.columns)
+    joined = packed_rows(docs).join(spans, F.expr("doc_id <=> __id"), "left")
+    return unpacked(joined, docs.columns, text=F.when(F.col("__v").isNotNull(), text).otherwise(F.col("text")))
