@@ -68,12 +68,19 @@ def avg1(total: str | Column, n: str | Column) -> Column:
     return F.when(n != 0, idiv(F.lit(20) * total + n, F.lit(2) * n)).cast("double") / F.lit(10.0)
 
 
+def _whole(c: str | Column) -> Column:
+    return col(c).cast("decimal(31,0)")
+
+
 def ratio6(num: str | Column, den: str | Column) -> Column:
     """num / den for integers (den > 0), rounded half away from zero to 6 dp exactly
-    (integer micro-units; valid while |num| < 4.6e12). NULL when den is 0 / NULL."""
-    n, d = col(num).cast("long"), col(den).cast("long")
-    q = F.signum(n).cast("long") * idiv(F.lit(2000000) * F.abs(n) + d, F.lit(2) * d)
-    return F.when(d > 0, q.cast("double") / F.lit(1e6))
+    (integer micro-units in DECIMAL(38), for any |num|, den < 10**18 or decimal products of such below
+    10**31). NULL when den is 0 / NULL."""
+    n, d = _whole(num), _whole(den)
+    top = (F.abs(n) * 2000000 + d).cast("decimal(38,0)")
+    bottom = (d * 2).cast("decimal(38,0)")
+    q = ((top - top % bottom) / bottom).cast("decimal(38,0)").cast("double")
+    return F.when(d > 0, F.signum(n) * q / F.lit(1e6))
 
 
 def round6(c: str | Column) -> Column:

@@ -101,15 +101,20 @@ def drift_report(fs: DataFrame, train_cut: Column, recent_start: Column, config:
 def drift_alert_row(report: DataFrame) -> DataFrame:
     """The alert a drift run appends (no row when nothing drifted)."""
     d = report.where(F.col("drifted"))
-    meta = F.map_from_entries(F.collect_list(F.struct(
-        "feature", F.struct("psi", "ks_statistic", "ks_p_value", "drifted"))))
-    names = F.array_join(F.array_sort(F.collect_list("feature")), ", ")
-    g = d.agg(F.count(F.lit(1)).alias("n"), names.alias("names"), F.to_json(meta).alias("metadata_json"))
+    place = F.array_position(F.array(*[F.lit(f) for f in DRIFT_FEATURES]), F.col("feature"))    # report order
+    rows = F.array_sort(F.collect_list(F.struct(
+        place.alias("place"), "feature", F.struct("psi", "ks_statistic", "ks_p_value", "drifted").alias("r"))))
+    meta = F.map_from_entries(F.transform(rows, lambda x: F.struct(x["feature"], x["r"])))
+    names = F.array_join(F.transform(rows, lambda x: x["feature"]), ", ")
+    shown = F.array_join(F.transform(rows, lambda x: F.format_string(
+        "%s psi=%.4f ks=%.4f p=%.4f", x["feature"], x["r"]["psi"], x["r"]["ks_statistic"], x["r"]["ks_p_value"])), "; ")
+    g = d.agg(F.count(F.lit(1)).alias("n"), names.alias("names"), F.to_json(meta).alias("metadata_json"),
+              shown.alias("metadata"))
     return g.where(F.col("n") > 0).select(
         F.lit("data_drift").alias("alert_type"),
         F.when(F.col("n") > 2, "high").otherwise("medium").alias("severity"),
         F.format_string("Data drift detected in %d feature(s): %s", F.col("n"), F.col("names")).alias("message"),
-        "metadata_json", F.col("n").cast("long").alias("n_drifted"))
+        "metadata_json", F.col("n").cast("long").alias("n_drifted"), "metadata")
 
 
 def rolling_mape(predictions: DataFrame, as_of: Column, window_days: int = 7,

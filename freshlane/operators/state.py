@@ -60,22 +60,28 @@ def feature_store_projection(features: DataFrame) -> DataFrame:
 
 
 def save_features(features: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """S3 sink: write the projection partitioned by month (pruned by date filters)."""
+    """S3 sink: write the projection partitioned by month (pruned by date filters); the rows written."""
+    from pyspark.sql import Observation
+    seen = Observation()
     fs = feature_store_projection(features).withColumn("ym", F.date_format("date", "yyyy-MM"))
-    fs.write.mode(mode).partitionBy("ym").parquet(path)
-    return fs.sparkSession.read.parquet(path).count()
+    fs.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).partitionBy("ym").parquet(path)
+    return seen.get["n"]
 
 
 def load_features(spark, path: str, store_id=None, date_from=None, date_to=None) -> DataFrame:
-    """Scan with optional inclusive predicates (pushed to Parquet / partitions)."""
-    df = spark.read.parquet(path)
-    if store_id:
+    """Scan of a saved feature store with optional inclusive predicates, sorted."""
+    return select_features(spark.read.parquet(path), store_id, date_from, date_to).drop("ym")
+
+
+def select_features(df: DataFrame, store_id=None, date_from=None, date_to=None) -> DataFrame:
+    """The given predicates, all of them, on a feature-store table (pushed to Parquet / partitions); sorted by key."""
+    if store_id is not None:
         df = df.where(F.col("store_id") == store_id)
-    if date_from:
+    if date_from is not None:
         df = df.where(F.col("date") >= F.lit(date_from).cast("date"))
-    if date_to:
+    if date_to is not None:
         df = df.where(F.col("date") <= F.lit(date_to).cast("date"))
-    return df.drop("ym").orderBy(*KEYS3)
+    return df.orderBy(*KEYS3)
 
 
 def load_verification(ctx) -> DataFrame:
@@ -135,6 +141,21 @@ def record_actuals(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
         for c in predictions.columns])
 
 
+def update_with_actuals(predictions: DataFrame, items: DataFrame) -> DataFrame:
+    """I4's write: of each posted (store, product, date) the newest prediction gets the actual and the error
+    (4 dp), whatever it held; all other rows stay. ``items`` has one row per key."""
+    a = items.select(*KEYS3, F.col("actual_sold").cast("int").alias("_a"))
+    newest = predictions.join(a, KEYS3).groupBy(*KEYS3).agg(
+        F.max_by("model_version", "created_at").alias("model_version"), F.first("_a").alias("_a"))
+    p, m = F.col("predicted_demand").cast("double"), F.col("_a").cast("double")
+    err = F.round((p - m) / F.greatest(m, F.lit(1.0)), 4)
+    new = {"actual_demand": F.coalesce("_a", "actual_demand"),
+           "forecast_error": F.when(F.col("_a").isNotNull(), err.cast(predictions.schema["forecast_error"].dataType))
+           .otherwise(F.col("forecast_error"))}
+    j = predictions.join(newest, [*KEYS3, "model_version"], "left")
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in predictions.columns])
+
+
 def apply_actuals_batch(predictions: DataFrame, items: DataFrame) -> DataFrame:
     """I4: per item, the newest prediction for (store, product, date); error % to 1 dp;
     that version's actual and error (4 dp) are updated. Returns the per-item result."""
@@ -150,9 +171,14 @@ def apply_actuals_batch(predictions: DataFrame, items: DataFrame) -> DataFrame:
                     F.round((p - a) / F.greatest(a, F.lit(1.0)), 4).alias("forecast_error"))
 
 
-def site_visit_normalize(raw: DataFrame, ua_limit: int = 256, ref_limit: int = 512) -> DataFrame:
+VISIT_COLUMNS = ("source", "ip", "city", "region", "country", "latitude", "longitude", "path", "user_agent", "referrer",
+                 "payload_json")
+
+
+def site_visit_normalize(raw: DataFrame, ua_limit: int = 512, ref_limit: int = 256) -> DataFrame:
     """IP = payload ip, else first X-Forwarded-For hop (trimmed), else X-Real-IP, else
-    client host; user agent / referrer cut to N chars; payload JSON kept as posted."""
+    client host; source and place as posted; the posted referrer, else the header's; user agent and header
+    referrer cut to N chars, '' when absent; payload JSON kept as posted."""
     payload_ip = F.get_json_object("payload_json", "$.ip")
     xff_first = F.trim(F.split(F.col("x_forwarded_for"), ",").getItem(0))
     cols = set(raw.columns)
@@ -160,11 +186,16 @@ def site_visit_normalize(raw: DataFrame, ua_limit: int = 256, ref_limit: int = 5
     client = F.col("client_host") if "client_host" in cols else F.lit(None).cast("string")
     ua = F.col("user_agent") if "user_agent" in cols else F.lit(None).cast("string")
     ref = F.col("referrer") if "referrer" in cols else F.lit(None).cast("string")
+    posted = lambda name: F.get_json_object("payload_json", f"$.{name}")
     ip = F.coalesce(F.nullif(payload_ip, F.lit("")), F.nullif(xff_first, F.lit("")),
                     F.nullif(real_ip, F.lit("")), client)
-    return raw.select("visit_id", "received_at", F.lit("web").alias("source"), ip.alias("ip"), "path",
-                      F.substring(ua, 1, ua_limit).alias("user_agent"),
-                      F.substring(ref, 1, ref_limit).alias("referrer"),
+    return raw.select("visit_id", "received_at", posted("source").alias("source"), ip.alias("ip"),
+                      posted("city").alias("city"), posted("region").alias("region"), posted("country").alias("country"),
+                      F.expr("try_cast(get_json_object(payload_json, '$.latitude') AS double)").alias("latitude"),
+                      F.expr("try_cast(get_json_object(payload_json, '$.longitude') AS double)").alias("longitude"),
+                      "path", F.substring(F.coalesce(ua, F.lit("")), 1, ua_limit).alias("user_agent"),
+                      F.coalesce(F.nullif(posted("referrer"), F.lit("")),
+                                 F.substring(F.coalesce(ref, F.lit("")), 1, ref_limit)).alias("referrer"),
                       F.col("payload_json"))
 
 

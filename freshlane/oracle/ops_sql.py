@@ -431,10 +431,10 @@ SQL.update({
 })
 
 # ---- drift / feedback ----------------------------------------------------------------------------------
-DRIFT_FEATURES = ["sales_lag_1d", "sales_lag_7d", "sales_rolling_7d_mean", "sales_rolling_7d_std",
-                  "waste_rolling_7d_rate", "temperature_avg", "promotion_discount", "stock_to_sales_ratio"]
+DRIFT_FEATURES = ["sales_lag_1d", "sales_lag_7d", "sales_rolling_7d_mean", "sales_rolling_28d_mean",
+                  "waste_rolling_7d_rate", "stock_to_sales_ratio", "temperature_avg", "promotion_discount"]
 FS_TYPES = {"sales_lag_1d": "DECIMAL(10,2)", "sales_lag_7d": "DECIMAL(10,2)",
-            "sales_rolling_7d_mean": "DECIMAL(10,2)", "sales_rolling_7d_std": "DECIMAL(10,2)",
+            "sales_rolling_7d_mean": "DECIMAL(10,2)", "sales_rolling_28d_mean": "DECIMAL(10,2)",
             "waste_rolling_7d_rate": "DECIMAL(10,4)", "temperature_avg": "DECIMAL(4,1)",
             "promotion_discount": "DECIMAL(4,2)", "stock_to_sales_ratio": "DECIMAL(10,4)"}
 
@@ -509,9 +509,14 @@ SQL.update({
     "drift_report": with_features("SELECT * FROM dreport", DRIFT_CTES),
     "drift_alert_row": with_features("""
         SELECT 'data_drift' AS alert_type, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END AS severity,
-               printf('Data drift detected in %d feature(s): %s', count(*), string_agg(feature, ', ' ORDER BY feature))
-                 AS message, CAST(count(*) AS BIGINT) AS n_drifted
-        FROM dreport WHERE drifted HAVING count(*) > 0""", DRIFT_CTES),
+               printf('Data drift detected in %d feature(s): %s', count(*), string_agg(feature, ', ' ORDER BY place))
+                 AS message, CAST(count(*) AS BIGINT) AS n_drifted,
+               string_agg(printf('%s psi=%.4f ks=%.4f p=%.4f', feature, psi, ks_statistic, ks_p_value), '; ' ORDER BY place)
+                 AS metadata
+        FROM (SELECT *, list_position(['sales_lag_1d', 'sales_lag_7d', 'sales_rolling_7d_mean', 'sales_rolling_28d_mean',
+                'waste_rolling_7d_rate', 'stock_to_sales_ratio', 'temperature_avg', 'promotion_discount'], feature) AS place
+              FROM dreport) r
+        WHERE drifted HAVING count(*) > 0""", DRIFT_CTES),
     "rolling_mape_store": with_features("SELECT store_id, round(mape_raw, 4) AS mape FROM roll", ROLL_CTES),
     "mape_status": with_features("""
         SELECT store_id, round(mape_raw, 4) AS mape, coalesce(round(mape_raw, 4) > 0.2, false) AS degraded
@@ -600,7 +605,7 @@ pred_upd AS (
 
 SQL.update({
     "feature_store_projection": with_features(FS_SELECT),
-    "load_features": with_features(f"SELECT * FROM ({FS_SELECT}) t WHERE store_id = 1 OR date >= DATE '2025-06-01'"),
+    "load_features": with_features(f"SELECT * FROM ({FS_SELECT}) t WHERE store_id = 1 AND date BETWEEN DATE '2025-03-01' AND DATE '2025-07-31'"),
     "load_verification": with_features("""
         SELECT 'stores' AS item, CAST(count(*) AS DOUBLE) AS value FROM stores
         UNION ALL SELECT 'categories', count(*) FROM categories
@@ -624,6 +629,15 @@ SQL.update({
         LEFT JOIN (SELECT store_id, product_id, date, model_version, confidence_upper, 1 AS k FROM predictions
                    WHERE date > (SELECT max(date) FROM predictions) - 7 AND model_version = 'v1') n
           USING (store_id, product_id, date, model_version)""", PRED_CTES),
+    "update_with_actuals": with_features("""
+        SELECT store_id, product_id, date, model_version,
+               CASE WHEN rn = 1 AND actual_sold IS NOT NULL THEN CAST(actual_sold AS INTEGER) ELSE actual_demand END
+                 AS actual_demand,
+               CASE WHEN rn = 1 AND actual_sold IS NOT NULL
+                    THEN round((CAST(predicted_demand AS DOUBLE) - actual_sold) / greatest(actual_sold, 1.0), 4) + 0.0
+                    ELSE CAST(forecast_error AS DOUBLE) END AS forecast_error, created_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id, date ORDER BY created_at DESC) AS rn
+              FROM predictions) p LEFT JOIN acts_in a USING (store_id, product_id, date)""", PRED_CTES + "," + ACT_CTE),
     "apply_actuals_batch": with_features("""
         SELECT store_id, product_id, date, model_version, CAST(actual_sold AS INTEGER) AS actual_sold,
                CAST(predicted_demand AS DOUBLE) AS predicted_demand,
@@ -647,7 +661,13 @@ SQL.update({
         SELECT visit_id, received_at,
                coalesce(nullif(json_extract_string(payload_json, '$.ip'), ''),
                         nullif(trim(split_part(x_forwarded_for, ',', 1)), '')) AS ip,
-               path, payload_json
+               json_extract_string(payload_json, '$.source') AS source, json_extract_string(payload_json, '$.city') AS city,
+               json_extract_string(payload_json, '$.region') AS region,
+               json_extract_string(payload_json, '$.country') AS country,
+               try_cast(json_extract_string(payload_json, '$.latitude') AS DOUBLE) AS latitude,
+               try_cast(json_extract_string(payload_json, '$.longitude') AS DOUBLE) AS longitude,
+               path, '' AS user_agent, coalesce(nullif(json_extract_string(payload_json, '$.referrer'), ''), '') AS referrer,
+               payload_json
         FROM site_visit_events"""),
 })
 

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
+from freshlane.oracle import dashboard_sql, ext_sql, feature_sql, ops_sql, views_sql
 
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in ("freshlane.oracle.dashboard_sql", "freshlane.oracle.feature_sql",
-              "freshlane.oracle.ops_sql", "freshlane.oracle.views_sql",
-              "freshlane.oracle.ext_sql"):
-        try:
-            mod = importlib.import_module(m)
-        except ModuleNotFoundError as e:
-            if e.name != m:
-                raise
-            continue
+    for mod in (dashboard_sql, feature_sql, ops_sql, views_sql, ext_sql):
         out.update(mod.SQL)
     return out

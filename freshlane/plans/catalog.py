@@ -44,13 +44,8 @@ register("inventory_total", D.inventory_total)
 
 def _load_more() -> None:
     """Operator modules register their own keys on import."""
-    import importlib
-    for m in ("freshlane.plans.views", "freshlane.plans.operator_queries"):
-        try:
-            importlib.import_module(m)
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != m:
-                raise
+    import freshlane.plans.operator_queries
+    import freshlane.plans.views  # noqa: F401
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,11 +35,11 @@ class Ctx(Retail):
         folder reuses them (the feature store of the reference).
         """
         from freshlane.operators.features import feature_medians, fill_missing
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.config)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.input_state, self.config)
         hit = _FEATURE_CACHE.get(key)
         if hit is None:
             from freshlane.sources.retail import materialize
-            raw = materialize(self.spark, (self.sf_dir, repr(self.config), "features_raw"),
+            raw = materialize(self.spark, (self.sf_dir, self.input_state, repr(self.config), "features_raw"),
                               lambda: self.features_raw)
             hit = (raw, feature_medians(raw, self.config))
             _FEATURE_CACHE[key] = hit
@@ -50,7 +50,8 @@ class Ctx(Retail):
     def features_raw_table(self) -> DataFrame:
         """F1..F7 as the materialised table shared with ``features`` (NULLs not filled)."""
         from freshlane.sources.retail import materialize
-        return materialize(self.spark, (self.sf_dir, repr(self.config), "features_raw"), lambda: self.features_raw)
+        return materialize(self.spark, (self.sf_dir, self.input_state, repr(self.config), "features_raw"),
+                           lambda: self.features_raw)
 
     @cached_property
     def features_raw(self) -> DataFrame:
@@ -90,7 +91,7 @@ class _Models:
 
     def __init__(self, ctx: "Ctx"):
         self.ctx = ctx
-        self.key = ("ml", ctx.spark.sparkContext.applicationId, ctx.sf_dir, ctx.config)
+        self.key = ("ml", ctx.spark.sparkContext.applicationId, ctx.sf_dir, ctx.input_state, ctx.config)
 
     def _get(self, name, build):
         k = (*self.key, name)

@@ -243,7 +243,7 @@ register("psi_by_feature", _psi)
 register("ks_by_feature", _ks)
 register("drift_report", _drift_report)
 register("drift_alert_row", lambda ctx: M.drift_alert_row(_drift_report(ctx)).select(
-    "alert_type", "severity", "message", "n_drifted"))
+    "alert_type", "severity", "message", "n_drifted", "metadata"))
 
 
 def _as_of_actuals(ctx):
@@ -320,8 +320,8 @@ def _fs_out(ctx):
 
 
 register("feature_store_projection", _fs_out)
-register("load_features", lambda ctx: _fs_out(ctx).where(
-    (F.col("store_id") == 1) | (F.col("date") >= F.lit("2025-06-01").cast("date"))))
+register("load_features", lambda ctx: ST.select_features(_fs_out(ctx), store_id=1, date_from="2025-03-01",
+                                                        date_to="2025-07-31"))
 register("load_verification", lambda ctx: ST.load_verification(ctx))
 
 
@@ -354,6 +354,8 @@ def _upsert(ctx):
 
 
 register("upsert_predictions", _upsert)
+register("update_with_actuals", lambda ctx: ST.update_with_actuals(ctx.predictions, _actuals_batch(ctx)).select(
+    *KEYS3, "model_version", "actual_demand", F.col("forecast_error").cast("double").alias("forecast_error"), "created_at"))
 register("apply_actuals_batch", lambda ctx: ST.apply_actuals_batch(ctx.predictions, _actuals_batch(ctx)))
 
 
@@ -380,7 +382,7 @@ register("unknown_store_requests", _unknown_store_requests)
 
 def _site_visits(ctx):
     v = ST.site_visit_normalize(ctx.site_visit_events)
-    return v.select("visit_id", "received_at", "ip", "path", "payload_json")
+    return v.select("visit_id", "received_at", *ST.VISIT_COLUMNS)
 
 
 register("site_visit_normalize", _site_visits)
@@ -497,8 +499,8 @@ from freshlane.streaming import streams as T  # noqa: E402
 def _stream_site_visits(ctx):
     out, ck = T.stream_dirs(ctx.spark, "site_visits")
     T.run_once(T.site_visits(ctx.spark, ctx.sf_dir, out, ck))
-    return ctx.spark.read.parquet(out).select("visit_id", F.col("received_at").cast("timestamp_ntz")
-                                              .alias("received_at"), "ip", "path", "payload_json")
+    return T.read_site_visits(ctx.spark, out).select(
+        "visit_id", F.col("received_at").cast("timestamp_ntz").alias("received_at"), *ST.VISIT_COLUMNS)
 
 
 def _stream_actuals(ctx):

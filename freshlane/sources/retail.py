@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshlane.functions import exprs as X
-from freshlane.sources.driver import read_table
+from freshlane.sources.driver import input_state, read_table
 
 
 def _part_keys(part: DataFrame) -> DataFrame:
@@ -131,11 +131,16 @@ class Retail:
         self.sf_dir = sf_dir
         self.materialized = materialized
 
+    @cached_property
+    def input_state(self) -> tuple:
+        """What the driver tables hold now; derived tables are kept per state, so new files are seen."""
+        return input_state(self.spark, self.sf_dir, ("region", "supplier", "part", "lineitem", "events", "orders"))
+
     def _table(self, name, build) -> DataFrame:
         if not self.materialized:
             return build()
         parts = name if isinstance(name, tuple) else (name,)
-        return materialize(self.spark, (self.sf_dir, *parts[1:], parts[0]), build)
+        return materialize(self.spark, (self.sf_dir, self.input_state, *parts[1:], parts[0]), build)
 
     def raw(self, name: str, *cols: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, *cols)

@@ -103,3 +103,47 @@ def test_v1_moving_average(series):
     got = _col(trailing_full_mean(sales, ["store_id"], "date", "units_wasted", 7), "ma")
     for g, e in zip(got, V1):
         assert (g is None and e is None) or abs(g - e) < 1e-4
+
+
+def test_drift_features_are_the_fixed_list():
+    from freshlane.config import DRIFT_FEATURES
+    from freshlane.oracle.ops_sql import DRIFT_FEATURES as ORACLE
+    want = ("sales_lag_1d", "sales_lag_7d", "sales_rolling_7d_mean", "sales_rolling_28d_mean",
+            "waste_rolling_7d_rate", "stock_to_sales_ratio", "temperature_avg", "promotion_discount")
+    assert DRIFT_FEATURES == want and tuple(ORACLE) == want
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    import pytest
+
+    from freshlane import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Fake())
+    assert session.is_local("local[8]") and not session.is_local("local-cluster[3,2,1024]")
+
+
+def test_new_files_are_seen(spark, tmp_path, sf_small):
+    import os
+    import shutil
+
+    from freshlane.plans.context import Ctx
+    folder = str(tmp_path / "sf")
+    os.makedirs(folder)
+    for t in ("region", "nation", "supplier", "part", "orders", "customer", "events"):
+        shutil.copy(f"{sf_small}/{t}.parquet", folder)
+    lines = spark.read.parquet(f"{sf_small}/lineitem.parquet").limit(2000)
+    lines.limit(500).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    before = Ctx(spark, folder).daily_sales.agg({"quantity_sold": "sum"}).first()[0]
+    lines.coalesce(1).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    assert Ctx(spark, folder).daily_sales.agg({"quantity_sold": "sum"}).first()[0] > before
