@@ -36,18 +36,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def links_within_buckets(buckets: DataFrame, verify) -> DataFrame:
+def links_within_buckets(buckets: DataFrame, methods) -> DataFrame:
     """Verified links that connect all nodes linked inside any bucket of ``buckets`` (key, node).
 
-    ``verify`` takes pairs (a, b) and returns those that are links, with at least a and b. In each bucket every
-    node is compared with one centre, not with every other node. Buckets whose nodes are then in one
-    component are settled; the others get a second centre, their best linked node, and the nodes that
-    stay in different components after that are compared with each other, so that no link inside a
-    bucket is lost while a large group of alike nodes costs a linear number of comparisons.
+    ``methods(members)`` gets the nodes that share buckets (key, node, centre) and returns two functions:
+    ``verify`` takes pairs (a, b) and returns those that are links; ``remaining`` takes members of
+    buckets with their component (key, node, centre, root) and returns the pairs of different components that may be
+    links, sized by what may be linked, not by all pairs of a bucket.
+
+    In each bucket every node is compared with one centre. Buckets whose nodes are then in one component
+    are settled; the others get a second centre, the node linked to most first centres; what stays in different
+    components after that goes to ``remaining``. So no link inside a bucket is lost, while a large
+    group of alike nodes costs a linear number of comparisons.
     """
     sized = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"))
     shared = sized.where("centre <> other").select("key", "centre")
     members = written(buckets.join(shared, "key"), "buckets")
+    verify, remaining = methods(members)
     first = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(verify(first), "links-first")
 
@@ -61,17 +66,12 @@ def links_within_buckets(buckets: DataFrame, verify) -> DataFrame:
         return written(open_.join(mixed.select("key"), "key", "left_semi"), "unsettled")
 
     rest = unsettled(links)
-    degree = (links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
-              .withColumnRenamed("count", "links"))
+    # a node that is linked to many of its centres is in the middle of its group
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     ranked = rest.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     second = ranked.groupBy("key").agg(F.max(F.struct("links", "node", "root")).alias("c"))
     pairs = (rest.join(second.select("key", F.col("c.node").alias("c"), F.col("c.root").alias("croot")), "key")
              .where("root <> croot AND c <> centre AND node <> centre"))
     pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     links = written(links.unionByName(verify(pairs)), "links-second")
-
-    rest = unsettled(links)
-    left, right = rest.alias("l"), rest.alias("r")
-    pairs = (left.join(right, F.expr("l.key = r.key AND l.root < r.root AND l.node <> l.centre AND r.node <> r.centre"))
-             .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
-    return written(links.unionByName(verify(pairs)), "links")
+    return written(links.unionByName(verify(remaining(unsettled(links)))), "links")
