@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freshlane.functions.exprs import idiv, markdown_pct, risk_tier, to_dec
 from freshlane.operators.asof import latest_by, nearest
+from freshlane.operators.scoring import waste_score
 
 KEYS = ["store_id", "product_id"]
 
@@ -217,7 +218,7 @@ def waste_request_features(ctx, requests: DataFrame | None = None) -> DataFrame:
 def waste_risk_report(ctx, requests: DataFrame | None = None) -> DataFrame:
     """Score (3 dp), tier, demand (1 dp), excess (C2), markdown %, explanation."""
     x = waste_request_features(ctx, requests)
-    risk = F.least(F.lit(1.0), F.col("waste_rolling_7d_rate"))
+    risk = waste_score()
     demand = F.col("sales_rolling_7d_mean")
     tier = risk_tier(risk)
     md = markdown_pct(risk, F.col("days_until_expiry"))

