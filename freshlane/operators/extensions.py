@@ -77,8 +77,8 @@ def ext_price_change(sales: DataFrame) -> DataFrame:
     """Change of the realised unit price (revenue / units) against the previous row,
     both as exactly rounded integer quotients (cents x units)."""
     w = series_window()
-    d = (sales.withColumn("_c", (F.col("revenue") * 100).cast("long"))
-              .withColumn("_q", F.col("quantity_sold").cast("long")))
+    d = (sales.withColumn("_c", (F.col("revenue") * 100).cast("decimal(18,0)"))
+              .withColumn("_q", F.col("quantity_sold").cast("decimal(12,0)")))      # products stay below 10**31
     cp, qp = F.lag("_c", 1).over(w), F.lag("_q", 1).over(w)
     price = F.when(F.col("_q") > 0, ratio6(F.col("_c"), F.col("_q") * 100))
     # (c/q - cp/qp) / (cp/qp) = (c*qp - cp*q) / (cp*q)

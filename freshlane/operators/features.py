@@ -135,21 +135,26 @@ def add_derived(df: DataFrame) -> DataFrame:
     })
 
 
-def feature_medians(df: DataFrame, config: Config | None = None) -> dict[str, float | None]:
-    """Exact global median of each of the 35 features (distributed order statistic).
+def feature_medians(df: DataFrame, config: Config | None = None, every: bool = False) -> dict[str, float | None]:
+    """Exact global median of each of the 35 features that has NULLs in ``df``, or of all with ``every``
+    (distributed order statistic); None for the others.
 
     The result is 35 numbers, bounded by the feature count, so it is fetched
     once and inlined as literals: the fill then costs one projection.
     """
     config = config or Config()
-    cols = list(FEATURE_COLUMNS)
-    if config.exact_median:
-        med = exact_median_row(df, cols)
-    else:
-        med = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, config.median_accuracy).alias(c)
-                       for c in cols])
-    row = med.first()
-    return {c: (None if row is None else row[c]) for c in cols}
+    # a column without NULLs needs no median: count first, then rank only the others
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in FEATURE_COLUMNS]).first()
+    cols = [c for c in FEATURE_COLUMNS if counts[c] and (every or counts[c] < counts["_rows"])]
+    found: dict[str, float | None] = dict.fromkeys(FEATURE_COLUMNS)
+    if cols:
+        if config.exact_median:
+            med = exact_median_row(df, cols)
+        else:
+            med = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, config.median_accuracy).alias(c)
+                           for c in cols])
+        found.update(med.first().asDict())
+    return found
 
 
 def fill_missing(df: DataFrame, config: Config | None = None, fit_on: DataFrame | None = None,
@@ -158,7 +163,8 @@ def fill_missing(df: DataFrame, config: Config | None = None, fit_on: DataFrame
 
     ``fit_on`` computes the medians on another frame (e.g. the train split).
     """
-    med = medians if medians is not None else feature_medians(fit_on if fit_on is not None else df, config)
+    med = medians if medians is not None else (
+        feature_medians(df, config) if fit_on is None else feature_medians(fit_on, config, every=True))
     return df.withColumns({
         c: F.coalesce(F.col(c).cast("double"),
                       F.lit(float(med[c]) if med.get(c) is not None else 0.0))

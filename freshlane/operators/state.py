@@ -14,22 +14,22 @@ from pyspark.sql import functions as F
 
 from freshlane.config import FEATURE_COLUMNS
 
-# feature_store column types (flags are booleans).
+# Feature-store column types: the fixed scales, with room for far larger sums (flags are booleans).
 FEATURE_STORE_TYPES = {
     "day_of_week": "int", "day_of_month": "int", "week_of_year": "int", "month": "int",
     "is_weekend": "boolean", "is_month_start": "boolean", "is_month_end": "boolean",
-    "sales_lag_1d": "decimal(10,2)", "sales_lag_7d": "decimal(10,2)", "sales_lag_14d": "decimal(10,2)",
-    "sales_lag_28d": "decimal(10,2)", "waste_lag_1d": "decimal(10,2)", "waste_lag_7d": "decimal(10,2)",
-    "inventory_lag_1d": "decimal(10,2)",
-    "sales_rolling_7d_mean": "decimal(10,2)", "sales_rolling_7d_std": "decimal(10,2)",
-    "sales_rolling_14d_mean": "decimal(10,2)", "sales_rolling_28d_mean": "decimal(10,2)",
-    "waste_rolling_7d_sum": "decimal(10,2)", "waste_rolling_7d_rate": "decimal(10,4)",
-    "revenue_rolling_7d": "decimal(12,2)", "sales_rolling_7d_median": "decimal(10,2)",
+    "sales_lag_1d": "decimal(16,2)", "sales_lag_7d": "decimal(16,2)", "sales_lag_14d": "decimal(16,2)",
+    "sales_lag_28d": "decimal(16,2)", "waste_lag_1d": "decimal(16,2)", "waste_lag_7d": "decimal(16,2)",
+    "inventory_lag_1d": "decimal(16,2)",
+    "sales_rolling_7d_mean": "decimal(16,2)", "sales_rolling_7d_std": "decimal(16,2)",
+    "sales_rolling_14d_mean": "decimal(16,2)", "sales_rolling_28d_mean": "decimal(16,2)",
+    "waste_rolling_7d_sum": "decimal(16,2)", "waste_rolling_7d_rate": "decimal(16,4)",
+    "revenue_rolling_7d": "decimal(18,2)", "sales_rolling_7d_median": "decimal(16,2)",
     "unit_price": "decimal(8,2)", "cost_price": "decimal(8,2)", "shelf_life_days": "int",
     "margin_pct": "decimal(6,4)", "category_encoded": "int",
     "is_holiday": "boolean", "is_promotion": "boolean", "promotion_discount": "decimal(4,2)",
     "temperature_avg": "decimal(4,1)", "store_type_encoded": "int",
-    "days_since_last_promo": "int", "stock_to_sales_ratio": "decimal(10,4)",
+    "days_since_last_promo": "int", "stock_to_sales_ratio": "decimal(16,4)",
     "days_until_expiry_norm": "decimal(6,4)",
 }
 KEYS3 = ["store_id", "product_id", "date"]

@@ -35,10 +35,9 @@ def _scores(spark):
                                  "k string, label int, score double")
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_auc_and_ap(spark, monkeypatch, direct):
-    if not direct:
-        monkeypatch.setattr(Qn, "MAX_DIRECT", 0)
+@pytest.mark.parametrize("step", [50_000, 1])
+def test_auc_and_ap(spark, monkeypatch, step):
+    monkeypatch.setattr(Qn, "STEP_VALUES", step)
     df = _scores(spark)
     assert abs(E.auc_roc(df, ["k"]).first()["auc_roc"] - 0.666667) < 1e-6
     assert abs(E.average_precision(df, ["k"]).first()["average_precision"] - 0.805556) < 1e-6

@@ -1,4 +1,4 @@
-"""Distributed order statistics: both the direct and the bucketed path equal numpy."""
+"""Distributed order statistics: few and many steps per range equal numpy."""
 
 import numpy as np
 import pytest
@@ -17,10 +17,9 @@ def data(spark):
     return spark.createDataFrame(rows, "k string, v double"), rows
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_exact_percentiles(spark, data, monkeypatch, direct):
-    if not direct:
-        monkeypatch.setattr(Qn, "MAX_DIRECT", 0)
+@pytest.mark.parametrize("step", [50_000, 7])
+def test_exact_percentiles(spark, data, monkeypatch, step):
+    monkeypatch.setattr(Qn, "STEP_VALUES", step)
     df, rows = data
     got = {(r["k"], r["prob"]): r["value"] for r in Qn.exact_percentiles(df, ["k"], "v", [0.05, 0.5, 0.95]).collect()}
     for k in ("a", "b", "c", "d"):
@@ -29,10 +28,9 @@ def test_exact_percentiles(spark, data, monkeypatch, direct):
             assert abs(got[(k, p)] - np.percentile(vals, p * 100)) < 1e-9
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_prefix_sums(spark, monkeypatch, direct):
-    if not direct:
-        monkeypatch.setattr(Qn, "MAX_DIRECT", 0)
+@pytest.mark.parametrize("step", [50_000, 7])
+def test_prefix_sums(spark, monkeypatch, step):
+    monkeypatch.setattr(Qn, "STEP_VALUES", step)
     rows = [("g", float(i), i % 3) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, o double, w int")
     out = {r["o"]: (r["cum_w"], r["prev_w"], r["all_w"]) for r in Qn.prefix_sums(df, ["k"], "o", ["w"]).collect()}
