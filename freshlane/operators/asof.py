@@ -59,9 +59,9 @@ def asof_forward(requests: DataFrame, facts: DataFrame, keys: Sequence[str], req
     f = facts.select(*keys, F.col(fact_date).alias("_t"), F.lit(1).alias("_side"),
                      F.lit(None).cast(requests.select(F.struct(*req_cols)).schema[0].dataType).alias("_req"),
                      payload.alias("_fact"))
-    w = (Window.partitionBy(*keys).orderBy("_t", "_side")
-         .rowsBetween(0, Window.unboundedFollowing))
-    u = r.unionByName(f).withColumn("_hit", F.first("_fact", ignorenulls=True).over(w))
+    w = (Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side"))       # from the end: a growing frame
+         .rowsBetween(Window.unboundedPreceding, 0))
+    u = r.unionByName(f).withColumn("_hit", F.last("_fact", ignorenulls=True).over(w))
     out = u.where(F.col("_req").isNotNull())
     return out.select(*keys, *[F.col(f"_req.{c}").alias(c) for c in req_cols],
                       F.col("_hit._fdate").alias("matched_date"),
@@ -76,7 +76,7 @@ def nearest(requests: DataFrame, facts: DataFrame, keys: Sequence[str], req_date
             fact_cols: Sequence[str]) -> DataFrame:
     """A3: fact row with the smallest |date - d|; ties go to the later date.
 
-    One union, one window spec with two frames: the last fact at or before the
+    One union, two growing frames, forward and backward: the last fact at or before the
     request and the first fact after it, then the closer one. No pair explosion.
     """
     keys = list(keys)
@@ -88,10 +88,11 @@ def nearest(requests: DataFrame, facts: DataFrame, keys: Sequence[str], req_date
     f = facts.select(*keys, F.col(fact_date).alias("_t"), F.lit(0).alias("_side"),
                      F.lit(None).cast(rtype).alias("_req"),
                      F.struct(F.col(fact_date).alias("_fdate"), *[F.col(c) for c in fact_cols]).alias("_fact"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     u = (r.unionByName(f)
-         .withColumn("_b", F.last("_fact", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_f", F.first("_fact", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+         .withColumn("_b", F.last("_fact", ignorenulls=True).over(w))
+         .withColumn("_f", F.last("_fact", ignorenulls=True).over(back))
          .where(F.col("_side") == 1))
     db = F.datediff(F.col("_t"), F.col("_b._fdate"))
     df_ = F.datediff(F.col("_f._fdate"), F.col("_t"))

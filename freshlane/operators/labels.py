@@ -15,10 +15,15 @@ def waste_labels(sales: DataFrame) -> DataFrame:
     The reference's shift(-1) then trailing 3-row sum: lead first, then a
     window over the led series (two window passes on the same spec).
     """
+    return add_waste_label(sales).select(*KEYS, "date", "waste_label")
+
+
+def add_waste_label(df: DataFrame) -> DataFrame:
+    """``df`` (with units_wasted, one row per key and date) with L1's label in place: no join."""
     w = series_window()
-    led = sales.withColumn("_next", F.lead("units_wasted", 1).over(w))
+    led = df.withColumn("_next", F.lead("units_wasted", 1).over(w))
     s = F.sum("_next").over(w.rowsBetween(-2, 0))
-    return led.select(*KEYS, "date", (F.coalesce(s, F.lit(0)) > 0).cast("int").alias("waste_label"))
+    return led.withColumn("waste_label", (F.coalesce(s, F.lit(0)) > 0).cast("int")).drop("_next")
 
 
 def waste_labels_forward(sales: DataFrame) -> DataFrame:
@@ -47,10 +52,14 @@ def split_cutoffs(df: DataFrame, config: Config | None = None) -> DataFrame:
 
 def time_split(df: DataFrame, config: Config | None = None) -> DataFrame:
     """L3: train < c1 <= val < c2 <= test."""
-    cut = split_cutoffs(df, config)
+    return add_split(df, df, config).select(*KEYS, "date", "split")
+
+
+def add_split(df: DataFrame, dates: DataFrame, config: Config | None = None) -> DataFrame:
+    """``df`` with L3's split by the dates of ``dates``, in place."""
+    cut = split_cutoffs(dates, config)
     c1, c2 = cut.select("c1").scalar(), cut.select("c2").scalar()
-    split = F.when(F.col("date") < c1, "train").when(F.col("date") < c2, "val").otherwise("test")
-    return df.select(*KEYS, "date", split.alias("split"))
+    return df.withColumn("split", F.when(F.col("date") < c1, "train").when(F.col("date") < c2, "val").otherwise("test"))
 
 
 def retrain_split(df: DataFrame, config: Config | None = None) -> DataFrame:
@@ -62,10 +71,9 @@ def retrain_split(df: DataFrame, config: Config | None = None) -> DataFrame:
     return df.select(*KEYS, "date", split.alias("split"))
 
 
-def class_balance(labels: DataFrame, splits: DataFrame) -> DataFrame:
-    """L5 per split: positives, negatives, rate, scale_pos_weight = neg / max(pos, 1)."""
-    j = labels.join(splits, [*KEYS, "date"])
-    g = j.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("waste_label").alias("pos"))
+def class_balance(rows: DataFrame) -> DataFrame:
+    """L5 per split of ``rows`` (split, waste_label): positives, negatives, rate, scale_pos_weight = neg / max(pos, 1)."""
+    g = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("waste_label").alias("pos"))
     return g.select("split", F.col("n").cast("long"), F.col("pos").cast("long"),
                     (F.col("n") - F.col("pos")).cast("long").alias("neg"),
                     F.round(F.col("pos") / F.col("n"), 6).alias("pos_rate"),

@@ -20,8 +20,8 @@ register("waste_labels", lambda ctx: L.waste_labels(ctx.daily_sales))
 register("waste_labels_forward", lambda ctx: L.waste_labels_forward(ctx.daily_sales))
 register("time_split", lambda ctx: L.time_split(ctx.daily_sales, ctx.config))
 register("retrain_split", lambda ctx: L.retrain_split(ctx.daily_sales, ctx.config))
-register("class_balance", lambda ctx: L.class_balance(L.waste_labels(ctx.daily_sales),
-                                                      L.time_split(ctx.daily_sales, ctx.config)))
+register("class_balance", lambda ctx: L.class_balance(
+    L.add_split(L.add_waste_label(ctx.daily_sales), ctx.daily_sales, ctx.config)))
 register("serving_vectors", lambda ctx: L.serving_vectors(ctx.features).select(
     *KEYS3, *[round6(c).alias(c) for c in L.FEATURE_COLUMNS]))
 
@@ -199,11 +199,10 @@ register("business_cost", lambda ctx: E.business_cost(
 
 def _waste_eval(ctx):
     """Per row: L1 label, waste score (6 dp), split, filled lags, target."""
-    f = ctx.features.select(*KEYS3, "quantity_sold", "sales_lag_1d", "sales_lag_7d",
+    f = ctx.features.select(*KEYS3, "quantity_sold", "sales_lag_1d", "sales_lag_7d", "units_wasted",
                             X_.to_dec(S.waste_score(), 16, 6).cast("double").alias("score"))
-    lab = L.waste_labels(ctx.daily_sales).withColumnRenamed("waste_label", "label")
-    sp = L.time_split(ctx.daily_sales, ctx.config)
-    return f.join(lab, KEYS3).join(sp, KEYS3)
+    labelled = L.add_waste_label(f).withColumnRenamed("waste_label", "label")
+    return L.add_split(labelled, ctx.daily_sales, ctx.config)
 
 
 register("classifier_metrics", lambda ctx: E.classifier_metrics(_waste_eval(ctx), ["split"]))
