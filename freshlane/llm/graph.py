@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshlane.llm.common import written
+from freshlane.llm.private import may_be, term_filter
+
+#: Words of 64 bits in the filter of shared bucket keys (1 MB, whatever the input).
+KEY_FILTER = 1 << 17
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -51,7 +55,9 @@ def links_within_buckets(buckets: DataFrame, methods) -> DataFrame:
     """
     sized = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"))
     shared = sized.where("centre <> other").select("key", "centre")
-    members = written(buckets.join(shared, "key"), "buckets")
+    shared = written(shared, "shared-keys")
+    maybe = term_filter(shared.select(F.col("key").alias("term")), KEY_FILTER)       # spares single keys the shuffle
+    members = written(buckets.where(may_be(maybe, F.col("key"), KEY_FILTER)).join(shared, "key"), "buckets")
     verify, remaining = methods(members)
     first = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(verify(first), "links-first")

@@ -108,20 +108,21 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_TERM), lambda t: t.rlike(r"\p{L}"))
 
 
-def term_filter(names: DataFrame) -> Column:
-    """FILTER_WORDS longs with a bit for the hash of every ``term`` of ``names``, as a scalar subquery."""
+def term_filter(names: DataFrame, size: int = FILTER_WORDS) -> Column:
+    """``size`` longs (a power of two) with a bit for the hash of every ``term`` of ``names``, as a scalar subquery."""
     h = F.xxhash64("term")
-    bits = (names.select(F.shiftright(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int").alias("word"),
+    bits = (names.select(F.shiftright(h, 6).bitwiseAND(F.lit(size - 1)).cast("int").alias("word"),
                          F.expr("shiftleft(1L, CAST(xxhash64(term) & 63 AS int))").alias("bit"))
             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    every = names.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
+    every = names.sparkSession.range(size).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
     packed = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("b"))
     return packed.select(F.col("b")["bits"]).scalar()
 
 
-def may_be(names_filter: Column, term: Column) -> Column:
+def may_be(names_filter: Column, term: Column, size: int = FILTER_WORDS) -> Column:
+    """Whether the term may be one of the filter's (made with the same size)."""
     h = F.xxhash64(term)
-    word = F.get(names_filter, F.shiftright(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"))
+    word = F.get(names_filter, F.shiftright(h, 6).bitwiseAND(F.lit(size - 1)).cast("int"))
     return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
