@@ -1,5 +1,7 @@
 """Spark result == independent DuckDB SQL on the driver tables (sf0.001), for a cross-section of keys."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -16,7 +18,7 @@ KEYS = [
     "expiry_histogram", "dq_duplicates", "dq_orphans", "dq_requests",
     "ext_rolling", "ext_trend", "ext_holiday_distance", "ext_promo_day", "ext_price_change",
     "ext_residual_interval", "ext_kl", "ext_interval_width", "ext_baselines", "recommendations_nested",
-    "scan_daily_sales",
+    "scan_daily_sales", "load_features", "update_with_actuals", "drift_alert_row", "site_visit_normalize",
 ]
 
 
@@ -32,7 +34,8 @@ def test_matches_oracle(spark, sf_small, con, key):
 
 
 def test_every_query_has_a_reason_to_lack_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    # training-data queries are held against brute force in tests of their own
+    missing = {k for k in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline$", k)}
     ml = {"train_demand_model", "score_demand_ml", "feature_importance", "train_waste_model", "score_waste_ml",
           "daily_forecast_ml"}
     assert missing <= ml, missing - ml
