@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshlane.session import is_local
+
 #: Words are maximal runs of anything but space and the controls U+0009..U+000D.
 SPACE_RUN = r"[ \t-\r]+"
 
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not is_local(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="freshlane-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
