@@ -65,6 +65,19 @@ def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFram
     return rows.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in columns])
 
 
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow``; Python workers on this machine find this package wherever the session was started.
+
+    A cluster gets the package as it gets any (installed, or with ``--py-files``).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = df.sparkSession.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return df.mapInArrow(function, schema)
+
+
 def text_key(text: Column) -> Column:
     """16-byte identity of a text (null stays null); equal texts have equal keys."""
     return F.unhex(F.md5(text))

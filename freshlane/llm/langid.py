@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshlane.llm.common import arrow_map
 from freshlane.llm.tokens import slices
 
 FEATURES = 1 << 14
@@ -63,8 +64,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])],
                                              names=["lang", "feature", "n"])
 
-    counts = (docs.where(F.col("lang").isNotNull()).select("text", "lang")
-              .mapInArrow(run, "lang string, feature long, n long")
+    counts = (arrow_map(docs.where(F.col("lang").isNotNull()).select("text", "lang"), run, "lang string, feature long, n long")
               .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow())
     languages = sorted(set(counts.column("lang").to_pylist()))
     n = np.zeros((FEATURES, len(languages)))
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float
                     [*[b.column(f.name) for f in rest], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                      pa.array(mix, pa.string())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def identify_held_out(docs: DataFrame, penalty: float = 4.0) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshlane.llm.common import text_key, written
+from freshlane.llm.common import arrow_map, text_key, written
 from freshlane.llm.graph import connected_components, links_within_buckets
 from freshlane.llm.private import may_be, term_filter
 from freshlane.llm.tokens import slices
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                     names=["doc_id", "node", "keys"])
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("node"), "text")
-    return rows_.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    return arrow_map(rows_, run, "doc_id long, node binary, keys array<long>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())],
                                                  names=["a", "b", "similarity"])
 
-    return joined.mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
+    return arrow_map(joined, run, "a binary, b binary, similarity double").where(F.col("similarity") >= similarity)
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -178,7 +178,7 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
                           for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(places, pa.binary())], names=["node", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, sketch binary")
+    return arrow_map(texts.select("node", "text"), run, "node binary, sketch binary")
 
 
 def pairs_by_sketch(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
@@ -221,7 +221,7 @@ def pairs_by_sketch(rest: DataFrame, sketched: DataFrame, similarity: float) ->
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return arrow_map(rows, run, "a binary, b binary").distinct()
 
 
 def bucket_methods(docs: DataFrame, similarity: float, shingle: int):

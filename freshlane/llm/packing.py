@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from freshlane.llm.common import tokenizer_path, written
+from freshlane.llm.common import arrow_map, tokenizer_path, written
 from freshlane.llm.tokens import encoder, slices
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -46,7 +46,7 @@ def cut_pieces(docs: DataFrame, room: int = 2048, end_id: int = 1,
                     [pa.array(c, pa.int64()) for c in zip(*rows)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return arrow_map(docs.select("doc_id", "text"), run, PIECE_SCHEMA)
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -122,8 +122,8 @@ def pack(pieces: DataFrame, room: int = 2048) -> DataFrame:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     order = W.partitionBy("length", "__class").orderBy("doc_id", "start", "ids_crc32")
-    return (ranked.withColumn("__rank", F.row_number().over(order).cast("long"))
-            .mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long"))
+    return arrow_map(ranked.withColumn("__rank", F.row_number().over(order).cast("long")), place,
+                     PIECE_SCHEMA + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, room: int = 2048, end_id: int = 1,

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from freshlane.llm.common import tokenizer_path
+from freshlane.llm.common import arrow_map, tokenizer_path
 
 #: Byte-level pre-token pattern of the vocabulary (fixed value). White space is the Unicode property.
 PRETOKEN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"""
@@ -170,7 +170,7 @@ def token_counts(docs: DataFrame, limit: int = 512, vocabulary_file: str = "byte
                      pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 @functools.lru_cache(maxsize=2)

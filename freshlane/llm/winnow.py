@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshlane.llm.common import arrow_map
 from freshlane.llm.tokens import slices
 
 GRAM, WINDOW = 16, 64
@@ -105,7 +106,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
                      pa.array([p for _, p in kept], pa.list_(pa.int64()))],
                     names=["doc_id", "hashes", "positions"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, hashes array<long>, positions array<long>")
 
 
 DIGEST_SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
@@ -159,7 +160,7 @@ def fingerprint_digest(docs: DataFrame, ranges: int | None = None, gram: int = G
         return (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_string(hashes, positions),
                 as_string(e_hashes, e_positions), likeness(hashes, e_hashes), likeness(hashes, next_kept[0]))
 
-    return dealt.mapInArrow(run, DIGEST_SCHEMA)
+    return arrow_map(dealt, run, DIGEST_SCHEMA)
 
 
 NAMES = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
