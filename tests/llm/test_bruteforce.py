@@ -166,6 +166,70 @@ def test_line_groups(spark):
     assert texts[1] == "first" and texts[2] == ""
 
 
+def edits(a, b, most):
+    """Edit distance of two texts, or ``most`` + 1 if it is larger (Myers' bit vectors)."""
+    at, full, top = defaultdict(int), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    for i, c in enumerate(a):
+        at[c] |= 1 << i
+    up, down, score = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        eq = at.get(c, 0)
+        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
+        ph, mh = down | (full & ~(xh | up)), up & xh
+        score += bool(ph & top) - bool(mh & top)
+        if score - left > most:
+            return most + 1
+        ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
+        up, down = mh | (full & ~(xv | ph)), ph & xv
+    return score
+
+
+def fuzzy_groups(lines):
+    """Root of each of ``lines`` (ordered by length) under all pairs of edit similarity 0.8; bags of characters and trigrams only skip pairs that cannot be."""
+    def bags(q, size):
+        return np.array([np.bincount([zlib.crc32(x[i:i + q].encode()) % size for i in range(len(x) - q + 1)], minlength=size)
+                         for x in lines], np.int16)
+
+    one, three, sizes = bags(1, 64), bags(3, 512), np.array([len(x) for x in lines])
+    parent = list(range(len(lines)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, b in enumerate(lines):
+        most = int(0.2 * sizes[j] + 1e-9)
+        c = np.arange(np.searchsorted(sizes, sizes[j] - most), j)
+        d = one[c] - one[j]
+        c = c[np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most]
+        for i in c[np.abs(three[c] - three[j]).sum(axis=1) <= 6 * most]:
+            if edits(lines[i], b, most) <= most:
+                lo, hi = sorted((root(i), root(j)))
+                parent[hi] = lo
+    return [root(i) for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("folder, longest", [(SF, 2000), (BIGGER, 300)])
+def test_line_dedup_recall(spark, folder, longest):
+    """Of the lines that only fuzzy links show to be repeats (brute force up to ``longest`` characters), 95 % go."""
+    places = defaultdict(list)
+    for doc, text in duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall():
+        for k, line in enumerate(text.split("\n")):
+            normal = re.sub(r"[\x00-/:-@\[-`{-\x7f]+", " ", line.lower()).strip(" ")
+            if normal.count(" ") >= 4:
+                places[normal].append((doc, k))
+    lines = sorted((x for x in places if len(x) <= longest), key=len)
+    groups = defaultdict(list)
+    for x, r in zip(lines, fuzzy_groups(lines)):
+        groups[r].append(min(places[x]))
+    repeats = {p for firsts in groups.values() for p in firsts if p != min(firsts)}
+    found = run(spark, "op3_line_dedup", folder)
+    got = {(r.doc_id, int(k)) for r in found.itertuples() for k in r.removed.split(",") if k}
+    print(f"{folder}: {len(repeats & got)} of {len(repeats)} fuzzy repeats go")
+    assert len(repeats) > 40 and len(repeats & got) >= 0.95 * len(repeats)
+
+
 # ---- 4
 def test_winnowing(spark, docs):
     ids = sorted(docs, reverse=True)
