@@ -230,6 +230,14 @@ def test_line_dedup_recall(spark, folder, longest):
     assert len(repeats) > 40 and len(repeats & got) >= 0.95 * len(repeats)
 
 
+def test_long_lines_by_characters(spark):
+    """A typo in three of ten words of a long line: the characters decide."""
+    a = " ".join(f"wording{i}" for i in range(100))
+    b = " ".join(f"wxrding{i}" if i % 10 < 3 else f"wording{i}" for i in range(100))
+    df = spark.createDataFrame([(a, b), (a, a[::-1])], "a string, b string")
+    assert [r[0] for r in df.select(line_dedup.alike(F.col("a"), F.col("b"), 0.8)).collect()] == [True, False]
+
+
 # ---- 4
 def test_winnowing(spark, docs):
     ids = sorted(docs, reverse=True)
