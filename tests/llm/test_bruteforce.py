@@ -238,6 +238,16 @@ def test_long_lines_by_characters(spark):
     assert [r[0] for r in df.select(line_dedup.alike(F.col("a"), F.col("b"), 0.8)).collect()] == [True, False]
 
 
+def test_unsettled_lines_meet_in_blocks(spark):
+    rest = spark.range(400).select(F.lit(7).alias("key"), F.col("id").alias("node"))
+    rows = line_dedup.in_blocks(rest, 40).toPandas()
+    groups = [g for _, g in rows.groupby(["lo", "hi"])]
+    assert max(map(len, groups)) < 200 and len(groups) == 55
+    met = Counter(tuple(sorted((x.node, y.node))) for g in groups for k, x in enumerate(g.itertuples()) for y in list(g.itertuples())[k + 1:]
+                  if x.lo == x.hi or x.own != y.own)
+    assert len(met) == 400 * 399 // 2 and set(met.values()) == {1}
+
+
 # ---- 4
 def test_winnowing(spark, docs):
     ids = sorted(docs, reverse=True)
