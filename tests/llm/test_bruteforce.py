@@ -431,6 +431,18 @@ def test_mixing(spark):
     assert rows.copies[[d for d, (q, t) in labels.items() if t == 1 and q == 1]].mean() < 0.5
 
 
+@pytest.mark.parametrize("folder", [SF, BIGGER])
+def test_mixing_finds_toxic(spark, folder):
+    """Weak evidence adds up at every size: labelled toxic documents are caught, clean ones are not."""
+    found = run(spark, "op8_mixing", folder).set_index("doc_id")
+    labels = duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{folder}/labels.parquet'").fetchall()
+    toxic, clean = found.loc[[d for d, _, t in labels if t == 1]], found.loc[[d for d, q, t in labels if t == 0 and q == 1]]
+    print(folder, "p_toxic", toxic.p_toxic.mean(), clean.p_toxic.mean(), "rate", toxic.rate.mean(), clean.rate.mean(),
+          "copies", toxic.copies.mean(), clean.copies.mean())
+    assert toxic.p_toxic.mean() > 0.55 and clean.p_toxic.mean() < 0.2
+    assert toxic.rate.mean() < 0.4 and clean.rate.mean() > 0.95
+
+
 # ---- 9
 def test_secrets(spark):
     found = run(spark, "op9_secret_scan", BIGGER)
