@@ -145,8 +145,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
                  max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, n_tokens, p_<domain> for each domain, rate and copies of every row of ``docs`` (doc_id, text).
 
-    Copies are the rate's whole part, and one more if its fraction is a half or more (a document rather wanted than
-    not stays), or else with the fraction as the chance, by a hash of the id.
+    Copies are the rate's whole part, and one more with its fraction as the chance, by a hash of the id, so that the
+    copies' token totals are those of the rates but for chance.
     """
     targets = targets or TARGETS
     domains = sorted(targets)
@@ -156,7 +156,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     part = F.col("rate") - F.floor("rate")
     return (members.withColumn("rate", rate(steps, max_rate))
-            .withColumn("copies", (F.floor("rate") + F.when((part >= 0.5) | (chance < part), 1).otherwise(0)).cast("int"))
+            .withColumn("copies", (F.floor("rate") + F.when(chance < part, 1).otherwise(0)).cast("int"))
             .select("doc_id", "n_tokens", *[(F.col(f"m{i}") / 1000).alias(f"p_{d}") for i, d in enumerate(domains)],
                     "rate", "copies"))
 

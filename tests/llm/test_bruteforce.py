@@ -443,6 +443,20 @@ def test_mixing_finds_toxic(spark, folder):
     assert toxic.rate.mean() < 0.4 and clean.rate.mean() > 0.95
 
 
+@pytest.mark.parametrize("folder", [SF, BIGGER])
+def test_mixing_copies(spark, folder):
+    """Token totals of the copies are those of the rates within three standard deviations of the draw, and near the targets."""
+    found = run(spark, "op8_mixing", folder)
+    for d, w in {"clean": 0.96, "low": 0.03, "toxic": 0.01}.items():
+        tokens, part = found[f"p_{d}"] * found.n_tokens, found.rate % 1
+        off, sd = (tokens * (found.copies - found.rate)).sum(), np.sqrt((tokens ** 2 * part * (1 - part)).sum())
+        want = (found.p_clean * found.n_tokens).sum() * w / 0.96
+        print(folder, d, "total of copies / target", (tokens * found.copies).sum() / want, "of rates", (tokens * found.rate).sum() / want)
+        assert abs(off) <= 3 * sd
+        if folder == BIGGER:
+            assert abs((tokens * found.copies).sum() - want) <= 0.01 * want + 3 * sd
+
+
 # ---- 9
 def test_secrets(spark):
     found = run(spark, "op9_secret_scan", BIGGER)
