@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshlane.llm import langid, line_dedup, mixing, near_dup, packing, private, quality, secrets, tokens, winnow
+from freshlane.llm import (align, decontaminate, divergence, langid, line_dedup, mixing, near_dup, packing, private, quality,
+                           secrets, tokens, winnow)
 from freshlane.llm.common import read_documents
 
 
@@ -56,6 +57,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(read_documents(spark, sf_dir, "doc_id", "text"), keep_groups=False)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(read_documents(spark, sf_dir, "doc_id", "text"), items).drop("items")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_documents(spark, sf_dir, "text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -68,8 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_secret_scan": op9_secret_scan,
         "op10_token_counts": op10_token_counts,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_decontamination": op12_decontamination,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_decontamination": decontaminate.ORACLE, "op13_source_divergence": divergence.ORACLE}
