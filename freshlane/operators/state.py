@@ -3,13 +3,13 @@
 Parquet has no row-level MERGE, so an upsert is a rewrite: a full outer join
 of the existing rows and the new ones on the key (one shuffle on the key),
 taking the new value columns where a new row exists and keeping the old
-created_at / actuals. The result is written to a new folder and swapped in;
-a path is never overwritten while it is being read.
+created_at / actuals. ``operators/durable.py`` does so on stored tables: only the
+touched months are read and rewritten, and a commit swaps them in (``sources/monthly.py``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshlane.config import FEATURE_COLUMNS
@@ -105,8 +105,9 @@ PRED_KEY = ["store_id", "product_id", "date", "model_version"]
 PRED_VALUES = ["predicted_demand", "confidence_lower", "confidence_upper", "waste_risk_score", "waste_risk_tier"]
 
 
-def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert; on key conflict overwrite the 5 value columns, keep created_at and actuals."""
+def upsert_predictions(existing: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """Insert (created ``now``); on key conflict overwrite the 5 value columns, keep created_at and actuals."""
+    now = F.localtimestamp() if now is None else now
     cols = existing.columns
     old = existing.select(*PRED_KEY, F.struct(*[c for c in cols if c not in PRED_KEY]).alias("o"))
     nw = new.select(*PRED_KEY, F.struct(*PRED_VALUES).alias("n"))
@@ -119,7 +120,7 @@ def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
             out.append(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c != "waste_risk_tier"
                        else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         elif c == "created_at":
-            out.append(F.coalesce(F.col("o.created_at"), F.localtimestamp()).alias(c))
+            out.append(F.coalesce(F.col("o.created_at"), now).alias(c))
         else:
             out.append(F.col(f"o.{c}").alias(c))
     return j.select(*out)
