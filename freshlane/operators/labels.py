@@ -62,13 +62,17 @@ def add_split(df: DataFrame, dates: DataFrame, config: Config | None = None) ->
     return df.withColumn("split", F.when(F.col("date") < c1, "train").when(F.col("date") < c2, "val").otherwise("test"))
 
 
-def retrain_split(df: DataFrame, config: Config | None = None) -> DataFrame:
-    """L4: val from max-45 days, test from max-15 days."""
+def add_retrain_split(df: DataFrame, config: Config | None = None) -> DataFrame:
+    """``df`` with L4's split: val from max-45 days, test from max-15 days, in place."""
     config = config or Config()
     last = df.agg(F.max("date").alias("d")).select("d").scalar()
     v, t = F.date_sub(last, config.retrain_val_days), F.date_sub(last, config.retrain_test_days)
-    split = F.when(F.col("date") < v, "train").when(F.col("date") < t, "val").otherwise("test")
-    return df.select(*KEYS, "date", split.alias("split"))
+    return df.withColumn("split", F.when(F.col("date") < v, "train").when(F.col("date") < t, "val").otherwise("test"))
+
+
+def retrain_split(df: DataFrame, config: Config | None = None) -> DataFrame:
+    """L4."""
+    return add_retrain_split(df, config).select(*KEYS, "date", "split")
 
 
 def class_balance(rows: DataFrame) -> DataFrame:

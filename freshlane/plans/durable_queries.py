@@ -119,3 +119,23 @@ def _stream_visits_once(ctx):
 register("stream_predictions", _stream_predictions)
 register("stream_day_windows", _stream_day_windows)
 register("stream_visits_once", _stream_visits_once)
+
+
+# ---- retraining
+def _retrain_cycle(ctx):
+    """A first cycle (no champion) and a second one against it, few rounds each, and their alerts (Spark ML, rows only)."""
+    from freshlane.operators import models as M
+    from freshlane.operators import retrain as RT
+    store = RT.ModelStore(ctx.spark, new_root(ctx.spark, "models"))
+    log = RT.alert_log(ctx.spark, new_root(ctx.spark, "alerts"))
+    found = None
+    for cycle, rounds in ((1, 5), (2, 10)):
+        now = (F.date_add(_last(ctx), cycle)).cast("timestamp_ntz")
+        row = RT.retrain(ctx.features, store, log, now, M.ModelParams(
+            gbt_iter=rounds, gbt_step=0.2, rf_trees=rounds, waste_iter=rounds), ctx.config).withColumn("cycle", F.lit(cycle))
+        found = row if found is None else found.unionByName(row)
+    alerts = log.read().select(F.datediff("date", _last(ctx)).alias("cycle"), "severity", "metadata_json", "acknowledged")
+    return found.join(alerts, "cycle")
+
+
+register("retrain_cycle", _retrain_cycle)
