@@ -200,6 +200,39 @@ def site_visit_normalize(raw: DataFrame, ua_limit: int = 512, ref_limit: int = 2
                       F.col("payload_json"))
 
 
+# The fields of a posted visit, and the greatest length of the texts among them.
+VISIT_FIELDS = ("source string, ip string, city string, region string, country string, latitude double, longitude double, "
+                "path string, referrer string")
+VISIT_LENGTHS = {"source": 20, "ip": 45, "city": 100, "region": 100, "country": 100, "path": 256, "referrer": 256}
+
+
+def site_visits_posted(raw: DataFrame, ua_limit: int = 512, ref_limit: int = 256) -> DataFrame:
+    """S10 on whole posts: the payload is parsed once; fields it does not declare, and fields that are null, are not kept.
+
+    ``payload_json`` is the accepted payload without nulls; ``reason`` tells why a post is rejected: ``payload`` (no
+    JSON object) or the first field that is too long. Rejected posts are rows too, so that none is lost.
+    """
+    cols = set(raw.columns)
+    header = lambda c: F.col(c) if c in cols else F.lit(None).cast("string")
+    posted = raw.withColumn("_p", F.from_json("payload_json", VISIT_FIELDS + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    field = lambda c: F.col(f"_p.{c}")
+    some = lambda c: F.nullif(c, F.lit(""))
+    forwarded = F.trim(F.split(header("x_forwarded_for"), ",").getItem(0))
+    hop = F.when(some(header("x_forwarded_for")).isNotNull(), forwarded).otherwise(
+        F.coalesce(some(F.trim(header("x_real_ip"))), header("client_host")))
+    parsed = F.coalesce(F.trim("payload_json").startswith("{"), F.lit(False)) & field("_bad").isNull()
+    names = [x.split()[0] for x in VISIT_FIELDS.split(", ")]
+    reason = F.when(~parsed, "payload")
+    for name, most in VISIT_LENGTHS.items():
+        reason = reason.when(F.length(field(name)) > most, name)
+    return posted.select(
+        "visit_id", "received_at", F.coalesce(some(field("ip")), hop).alias("ip"),
+        *[field(c).alias(c) for c in ("source", "city", "region", "country", "latitude", "longitude", "path")],
+        F.substring(F.coalesce(header("user_agent"), F.lit("")), 1, ua_limit).alias("user_agent"),
+        F.coalesce(some(field("referrer")), F.substring(F.coalesce(header("referrer"), F.lit("")), 1, ref_limit)).alias("referrer"),
+        F.when(parsed, F.to_json(F.struct(*[field(c).alias(c) for c in names]))).alias("payload_json"), reason.alias("reason"))
+
+
 def train_metrics_row(demand_metrics: DataFrame, waste_metrics: DataFrame, baselines: DataFrame,
                       elapsed_sec: float) -> DataFrame:
     """The one-row training summary (demand MAPE / RMSE, waste AUC / F1, naive lag-7 MAPE)."""

@@ -68,7 +68,30 @@ merged AS (
   SELECT p.* REPLACE (u.actual_demand AS actual_demand, u.forecast_error AS forecast_error)
   FROM predictions p JOIN pred_upd u USING (store_id, product_id, date, model_version))"""
 
+POSTED = """
+  SELECT event_id AS i, ts, user_id AS u, event_type AS source, event_id % 11 = 0 AS broken,
+         CASE WHEN event_id % 4 = 0 THEN '10.1.0.' || CAST(user_id % 256 AS VARCHAR) END AS ip,
+         CASE WHEN event_id % 3 <> 0 THEN 'city ' || CAST(user_id % 7 AS VARCHAR) END AS city,
+         CASE WHEN event_id % 2 = 0 THEN repeat('x', CAST(user_id % 120 AS BIGINT)) END AS country,
+         CASE WHEN event_id % 5 <> 0 THEN CAST(user_id % 90 AS DOUBLE) + 0.5 END AS latitude,
+         event_id % 7 = 0 AS no_referrer
+  FROM events"""
+
 SQL: dict[str, str] = {
+    "site_visit_payload": f"""
+        SELECT i AS visit_id, ts AS received_at,
+               coalesce(CASE WHEN NOT broken THEN ip END,
+                        CASE WHEN i % 6 = 0 THEN '10.0.0.' || CAST(u % 256 AS VARCHAR) END) AS ip,
+               CASE WHEN NOT broken THEN source END AS source, CASE WHEN NOT broken THEN city END AS city,
+               CAST(NULL AS VARCHAR) AS region, CASE WHEN NOT broken THEN country END AS country,
+               CASE WHEN NOT broken THEN latitude END AS latitude, CAST(NULL AS DOUBLE) AS longitude,
+               CAST(NULL AS VARCHAR) AS path, '' AS user_agent, CASE WHEN i % 9 = 0 THEN '/start' ELSE '' END AS referrer,
+               CASE WHEN NOT broken THEN
+                 '{{' || concat_ws(',', '"source":"' || source || '"', '"ip":"' || ip || '"', '"city":"' || city || '"',
+                                 '"country":"' || country || '"', '"latitude":' || CAST(latitude AS VARCHAR),
+                                 CASE WHEN no_referrer THEN '"referrer":""' END) || '}}' END AS payload_json,
+               CASE WHEN broken THEN 'payload' WHEN length(country) > 100 THEN 'country' END AS reason
+        FROM ({POSTED})""",
     "daily_forecast_upsert": with_features(shown("merged"), PRED_CTES + "," + FORECAST),
     "upsert_predictions_whole": with_features(shown("merged"), PRED_CTES + "," + UPSERTED),
     "record_actuals_whole": with_features(shown("merged"), PRED_CTES + "," + ACT_CTE + "," + RECORDED),

@@ -121,6 +121,29 @@ register("stream_day_windows", _stream_day_windows)
 register("stream_visits_once", _stream_visits_once)
 
 
+# ---- visits with whole payloads
+def _site_visit_payload(ctx):
+    """S10 on posts whose payloads hold nulls, fields of other names, texts that are too long, and text that is no JSON."""
+    e = ctx.raw("events", "event_id", "ts", "user_id", "event_type")
+    i, u = F.col("event_id"), F.col("user_id")
+    some = lambda test, value: F.when(test, value)
+    payload = F.struct(
+        F.col("event_type").alias("source"), some(i % 4 == 0, F.concat(F.lit("10.1.0."), (u % 256).cast("string"))).alias("ip"),
+        some(i % 3 != 0, F.concat(F.lit("city "), (u % 7).cast("string"))).alias("city"),
+        F.lit(None).cast("string").alias("region"), some(i % 2 == 0, F.repeat(F.lit("x"), (u % 120).cast("int"))).alias("country"),
+        some(i % 5 != 0, (u % 90).cast("double") + 0.5).alias("latitude"), i.alias("session"),
+        some(i % 7 == 0, F.lit("")).alias("referrer"))
+    posts = e.select(
+        i.alias("visit_id"), F.col("ts").alias("received_at"),
+        F.when(i % 6 == 0, F.concat(F.lit(" 10.0.0."), (u % 256).cast("string"), F.lit(" , 172.16.0.1"))).alias("x_forwarded_for"),
+        F.when(i % 9 == 0, F.lit("/start")).alias("referrer"),
+        F.when(i % 11 == 0, F.lit("no json")).otherwise(F.to_json(payload, {"ignoreNullFields": "false"})).alias("payload_json"))
+    return ST.site_visits_posted(posts)
+
+
+register("site_visit_payload", _site_visit_payload)
+
+
 # ---- retraining
 def _retrain_cycle(ctx):
     """A first cycle (no champion) and a second one against it, few rounds each, and their alerts (Spark ML, rows only)."""

@@ -47,3 +47,14 @@ def test_metrics_json(spark):
     ST.write_metrics_json(ST.train_metrics_row(dm, wm, None, 12.3456), path)
     r = spark.read.json(path).first()
     assert (r["demand_mape"], r["waste_auc"], r["naive_lag7_mape"], r["elapsed_sec"]) == (0.2, 0.7, 0.4, 12.346)
+
+
+def test_posted_payloads(spark):
+    rows = [(1, '{"source": "web", "city": null, "latitude": 1.5, "other": 3}'), (2, "{}"), (3, None), (4, "[1]"), (5, '{"source": "web'),
+            (6, '{"source": "' + "s" * 21 + '", "ip": ""}'), (7, '{"latitude": null, "referrer": "r"}')]
+    raw = spark.createDataFrame([(i, None, p, " 1.1.1.1 , 2.2.2.2" if i == 6 else "", "9.9.9.9") for i, p in rows],
+                                "visit_id long, received_at timestamp, payload_json string, x_forwarded_for string, client_host string")
+    got = {r.visit_id: r for r in ST.site_visits_posted(raw).collect()}
+    assert [got[i].reason for i in range(1, 8)] == [None, None, "payload", "payload", "payload", "source", None]
+    assert [got[i].payload_json for i in (1, 2, 3, 5, 7)] == ['{"source":"web","latitude":1.5}', "{}", None, None, '{"referrer":"r"}']
+    assert got[6].ip == "1.1.1.1" and got[1].ip == "9.9.9.9" and got[7].referrer == "r" and got[1].referrer == ""
