@@ -72,9 +72,7 @@ RAW = ["quantity_sold", "revenue", "units_wasted", "units_donated", "temperature
 
 def extended(base: DataFrame, promos: DataFrame | None, products: DataFrame, stores: DataFrame | None) -> DataFrame:
     """F2..F7 of ``base`` (F1 rows); ``promos`` has the last promotion day of a series before its first row."""
-    f = (FE.add_rolling(FE.add_lags(FE.add_temporal(base))).transform(lambda d: FE.add_product_features(d, products))
-         .transform(lambda d: FE.add_contextual(d, stores)))
-    f = FE.add_derived(f).drop("_s7", "_n7")
+    f = FE.features_of(base, products, stores)
     if promos is None:
         return f
     f = f.join(promos.select(*KEYS, F.col("last_promo").alias("_before")), KEYS, "left")

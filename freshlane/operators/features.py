@@ -33,17 +33,26 @@ def base_join(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     every lag / trailing window of F3..F7 instead of shuffling both sides on
     (store, product, date) and then again on (store, product).
     """
+    return base_of(series_rows(sales, inventory))
+
+
+def series_rows(sales: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Both facts in one frame: a sale's row and a snapshot's row of every series and day."""
     inv = inventory.select(*KEYS, "date", F.struct("quantity_on_hand", "days_until_expiry").alias("_inv"),
                            F.lit(0).alias("_side"))
-    u = sales.withColumn("_side", F.lit(1)).unionByName(inv, allowMissingColumns=True)
+    return sales.withColumn("_side", F.lit(1)).unionByName(inv, allowMissingColumns=True)
+
+
+def base_of(series: DataFrame) -> DataFrame:
+    """F1's rows of ``series_rows``."""
     w = Window.partitionBy(*KEYS).orderBy("date", "_side")
     prev_date = F.lag("date", 1).over(w)
     prev_inv = F.lag("_inv", 1).over(w)
     same_day = (prev_date == F.col("date"))
-    out = (u.withColumn("_pinv", F.when(same_day, prev_inv))
-            .where(F.col("_side") == 1)
-            .withColumn("quantity_on_hand", F.col("_pinv.quantity_on_hand"))
-            .withColumn("days_until_expiry", F.col("_pinv.days_until_expiry")))
+    out = (series.withColumn("_pinv", F.when(same_day, prev_inv))
+           .where(F.col("_side") == 1)
+           .withColumn("quantity_on_hand", F.col("_pinv.quantity_on_hand"))
+           .withColumn("days_until_expiry", F.col("_pinv.days_until_expiry")))
     return out.drop("_side", "_inv", "_pinv")
 
 
@@ -176,14 +185,18 @@ def build_features(sales: DataFrame, products: DataFrame, inventory: DataFrame,
                    stores: DataFrame | None = None, fill: bool = True,
                    config: Config | None = None) -> DataFrame:
     """the 8 stages in order; returns keys, raw columns and the 35 features."""
-    df = (base_join(sales, inventory)
-          .transform(add_temporal)
-          .transform(add_lags)
-          .transform(add_rolling)
-          .transform(lambda d: add_product_features(d, products))
-          .transform(lambda d: add_contextual(d, stores))
-          .transform(add_derived)
-          .drop("_s7", "_n7"))
+    df = features_of(base_join(sales, inventory), products, stores)
     if fill:
         df = fill_missing(df, config)
     return df
+
+
+def features_of(base: DataFrame, products: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    """F2..F7 of F1's rows."""
+    return (base.transform(add_temporal)
+            .transform(add_lags)
+            .transform(add_rolling)
+            .transform(lambda d: add_product_features(d, products))
+            .transform(lambda d: add_contextual(d, stores))
+            .transform(add_derived)
+            .drop("_s7", "_n7"))

@@ -97,6 +97,7 @@ SQL: dict[str, str] = {
     "record_actuals_whole": with_features(shown("merged"), PRED_CTES + "," + ACT_CTE + "," + RECORDED),
     "stream_predictions": with_features(shown("merged"), PRED_CTES + "," + STREAMED),
     "features_append": stage(list(FEATURE_COLUMNS)),
+    "features_stored": stage(list(FEATURE_COLUMNS)),
     "stream_day_windows": with_base("""
         SELECT store_id, date, CAST(count(*) AS BIGINT) AS lines, CAST(sum(q) AS BIGINT) AS sold, CAST(sum(rev) AS BIGINT) AS revenue_units,
                CAST(sum(CASE WHEN rf = 'R' THEN q // 5 ELSE 0 END) AS BIGINT) AS wasted, CAST(0 AS BIGINT) AS late_lines

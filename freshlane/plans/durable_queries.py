@@ -11,6 +11,7 @@ from freshlane.operators import durable as D
 from freshlane.operators import features as FE
 from freshlane.operators import state as ST
 from freshlane.plans.catalog import register
+from freshlane.sources.bucketed import store_series
 from freshlane.sources.monthly import new_root
 from freshlane.streaming import event_time as ET
 from freshlane.streaming.streams import run_once, stream_dirs
@@ -85,6 +86,15 @@ def _features_append(ctx):
 register("features_append", _features_append)
 
 
+def stored_features(ctx, buckets: int = 16):
+    """F1..F7 from the stored series: no exchange."""
+    table = store_series(ctx.spark, ctx.daily_sales, ctx.inventory_snapshots, buckets)
+    return FE.features_of(FE.base_of(ctx.spark.table(table)), ctx.products, ctx.stores)
+
+
+register("features_stored", lambda ctx: stored_features(ctx).select(*KEYS3, *[round6(c).alias(c) for c in FE.FEATURE_COLUMNS]))
+
+
 # ---- streams
 #: Days may arrive so much later than the newest one and still count as on time.
 DAY = 86_400

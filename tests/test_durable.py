@@ -103,3 +103,12 @@ def test_appended_days_equal_a_rebuild(spark, ctx):
     assert table.read().columns == want.columns
     shown = lambda df: df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     assert same(shown(table.read()), shown(want))
+
+
+def test_stored_series_need_no_exchange(spark, ctx):
+    from freshlane.plans.durable_queries import stored_features
+    found = stored_features(ctx, buckets=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan and "Bucketed: true" in plan
+    want = ctx.features_raw_table
+    assert same(found.select(*want.columns), want)
