@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshlane.llm.common import arrow_map, text_key, written
+from freshlane.llm.common import arrow_map, packed_rows, text_key, unpacked, written
 from freshlane.llm.graph import connected_components, links_within_buckets
 from freshlane.llm.private import may_be, term_filter
 from freshlane.llm.tokens import slices
@@ -238,9 +238,8 @@ def bucket_methods(docs: DataFrame, similarity: float, shingle: int):
     return methods
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), class_size, kept (doc_id is class_id) per row."""
+def classes(docs: DataFrame, similarity: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every row (written), and root, node, class_id, class_size of every text."""
     signed = written(signatures(docs, bands, rows, shingle), "signatures")
     nodes = signed.where("size(keys) > 0").select("node", "keys").dropDuplicates(["node"])
     buckets = nodes.select("node", F.explode("keys").alias("key"))
@@ -248,15 +247,41 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     roots = connected_components(links)
     of_node = (signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
                .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    classes = of_node.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    named = of_node.join(classes, "root").select("node", "class_id", "class_size")
-    return (signed.join(named, "node", "left")
+    found = of_node.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    return signed, of_node.join(found, "root").select("root", "node", "class_id", "class_size")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its class), class_size, kept (doc_id is class_id) per row."""
+    signed, named = classes(docs, similarity, shingle, bands, rows)
+    return (signed.join(named.drop("root"), "node", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("class_size", F.lit(1)).alias("class_size"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document names its class."""
-    found = near_duplicates(docs, **options)
-    return docs.join(written(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped"), docs["doc_id"] == F.col("__id"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
+                         bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of ``docs``, all columns, of every class: that of the smallest doc_id (null last), then text key.
+
+    Rows are told apart by doc_id and text, so a text is never lost with another one of the same doc_id; of rows that
+    repeat both, one stays. Null texts are classes of their own.
+    """
+    signed, named = classes(docs, similarity, shingle, bands, rows)
+    each = signed.groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(named.select("node", "root"), "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    first = each.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first"))
+    each = written(each.join(first, "root", "left").withColumn("stays", F.col("first").isNull() | order.eqNullSafe(F.col("first"))), "decided")
+    left = packed_rows(docs).withColumn("__node", text_key(F.col("text")))
+
+    def of(decided):
+        return decided.select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
+
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__node").eqNullSafe(F.col("__of"))
+    left = left.join(of(each.where("NOT stays")), same, "left_anti")
+    again = of(each.where("stays AND n > 1"))
+    if not again.isEmpty():
+        one = left.join(again, same, "left_semi").groupBy("doc_id", "__node").agg(F.first("__row").alias("__row"))
+        left = left.join(again, same, "left_anti").select("__row").unionByName(one.select("__row"))
+    return unpacked(left, docs.columns)

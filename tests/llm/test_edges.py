@@ -86,3 +86,17 @@ def test_text_columns_only(spark):
     packed = packing.pack_documents(rows, room=16).toPandas()
     sums = packed.groupby("sequence_id").length.sum()
     assert sums.max() <= 16 and packed.length.sum() == 40 * packed.doc_tokens.iloc[0]
+
+
+def test_stages_act_by_row(spark):
+    """Texts that share a doc_id are told apart; repeated rows and null ids are deduplicated."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (5, a), (5, b), (7, "x y z u v w"), (7, "x y z u v w"), (None, a), (3, None), (3, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node")
+    left = sorted(((r.doc_id, r.text) for r in near_dup.drop_near_duplicates(docs).collect()), key=str)
+    assert left == sorted([(1, a), (5, b), (7, "x y z u v w"), (3, None), (4, None)], key=str)
+    lines = spark.createDataFrame([(1, f"{a}\nhead"), (5, f"{a}\ntail"), (5, f"{b}\nother")], "doc_id long, text string")
+    cut = {r.text for r in line_dedup.without_repeated_lines(lines).collect()}
+    assert cut == {f"{a}\nhead", "tail", f"{b}\nother"}
+    digest = sorted((r.doc_id, r.removed) for r in line_dedup.line_digest(lines).collect())
+    assert digest == [(1, ""), (5, ""), (5, "0")]
