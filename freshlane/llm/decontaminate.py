@@ -92,7 +92,8 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, window: int = WINDOW,
             .groupBy("key").agg(F.first("text").alias("text")))
     held = held.join(spots, "key").select("key", "spots", item_words(F.col("text")).alias("words"))
     same = F.filter("spots", lambda s: joined(F.col("words"), s["start"], s["size"]) == s["win"])
-    return written(held.select("key", same.alias("spots")).where("size(spots) > 0"), "verified")
+    same = F.when(F.size("words") > 0, same)        # a second use of the words: else each spot would split the text anew,
+    return written(held.select("key", same.alias("spots")), "verified").where("size(spots) > 0")    # as a pushed filter would
 
 
 def covered(spots: Column) -> Column:
