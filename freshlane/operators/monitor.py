@@ -65,15 +65,19 @@ def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(d <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * s)))
 
 
-def ks(long_df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """R2: KS statistic max |F1 - F2| over the pooled distinct values, and its p-value."""
+def ks(long_df: DataFrame, counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """R2: KS statistic max |F1 - F2| over the pooled distinct values, and its p-value (the limit law's, or with ``exact``
+    that of all merge orders where both sides have at most 10,000 rows)."""
     c = counts if counts is not None else value_counts(long_df)
     cum = prefix_sums(c, ["feature"], "v", ["c1", "c2"])
     g = cum.groupBy("feature").agg(
         F.max(F.abs(F.col("cum_c1") / F.col("all_c1") - F.col("cum_c2") / F.col("all_c2"))).alias("d"),
         F.max("all_c1").alias("n1"), F.max("all_c2").alias("n2"))
-    return g.select("feature", F.col("d").alias("ks_statistic"),
-                    ks_pvalue(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double")).alias("p"))
+    p = ks_pvalue(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double"))
+    if exact:
+        from freshlane.functions.ks_exact import ks_exact_pvalue
+        p = ks_exact_pvalue(F.col("d"), F.col("n1"), F.col("n2"), p)
+    return g.select("feature", F.col("d").alias("ks_statistic"), p.alias("p"))
 
 
 def drift_report(fs: DataFrame, train_cut: Column, recent_start: Column, config: Config | None = None,

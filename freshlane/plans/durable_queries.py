@@ -154,6 +154,18 @@ def _site_visit_payload(ctx):
 register("site_visit_payload", _site_visit_payload)
 
 
+# ---- drift with exact p-values
+def _ks_exact(ctx):
+    """R2 as the reference's library has it: exact up to 10,000 rows a side, the limit law beyond (no SQL: path counts)."""
+    from freshlane.operators import monitor as MO
+    from freshlane.plans.operator_queries_more import _drift_inputs
+    return MO.ks(MO.long_samples(*_drift_inputs(ctx)), exact=True).select(
+        "feature", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("p", 6).alias("p_value"))
+
+
+register("ks_exact", _ks_exact)
+
+
 # ---- retraining
 def _retrain_cycle(ctx):
     """A first cycle (no champion) and a second one against it, few rounds each, and their alerts (Spark ML, rows only)."""

@@ -38,6 +38,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def show_package_to_workers(spark: SparkSession) -> None:
+    """Python workers on this machine find this package wherever the session was started (a cluster has it installed)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def is_local(master: str) -> bool:
     """One JVM, whose folders every task sees (``local-cluster`` is a cluster)."""
     return master == "local" or master.startswith("local[")
