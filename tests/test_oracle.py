@@ -19,6 +19,8 @@ KEYS = [
     "ext_rolling", "ext_trend", "ext_holiday_distance", "ext_promo_day", "ext_price_change",
     "ext_residual_interval", "ext_kl", "ext_interval_width", "ext_baselines", "recommendations_nested",
     "scan_daily_sales", "load_features", "update_with_actuals", "drift_alert_row", "site_visit_normalize",
+    "daily_forecast_upsert", "upsert_predictions_whole", "record_actuals_whole", "site_visit_payload", "features_stored",
+    "features_append", "stream_predictions", "stream_day_windows", "stream_visits_once",
 ]
 
 
