@@ -63,15 +63,18 @@ SQL: dict[str, str] = {
         FROM (SELECT *, lag(c) OVER (w) AS cp, lag(q) OVER (w) AS qp
               FROM (SELECT *, CAST(revenue * 100 AS BIGINT) AS c, CAST(quantity_sold AS BIGINT) AS q
                     FROM daily_sales) a WINDOW w AS ({W})) t"""),
+    # each table is worked out once: without MATERIALIZED the features are planned again for every use
     "ext_residual_interval": with_features("""
         SELECT p.store_id, p.product_id, p.date, p.model_version,
                round(CAST(p.predicted_demand AS DOUBLE) - abs(q.p10), 6) + 0.0 AS lower_bound,
                round(CAST(p.predicted_demand AS DOUBLE) + abs(q.p90), 6) + 0.0 AS upper_bound
-        FROM predictions p JOIN (
+        FROM scored p JOIN (
           SELECT model_version, quantile_cont(r, 0.1) AS p10, quantile_cont(r, 0.9) AS p90 FROM (
-            SELECT model_version, actual_demand - CAST(predicted_demand AS DOUBLE) AS r FROM predictions
-            WHERE actual_demand IS NOT NULL AND date < (SELECT c1 FROM scut)) t GROUP BY model_version) q
-          USING (model_version)""", PRED_CTES + "," + SPLIT_CTES),
+            SELECT model_version, actual_demand - CAST(predicted_demand AS DOUBLE) AS r FROM scored
+            WHERE actual_demand IS NOT NULL AND date < (SELECT c1 FROM cut)) t GROUP BY model_version) q
+          USING (model_version)""", PRED_CTES + "," + SPLIT_CTES + """,
+scored AS MATERIALIZED (SELECT store_id, product_id, date, model_version, predicted_demand, actual_demand FROM predictions),
+cut AS MATERIALIZED (SELECT c1 FROM scut)"""),
     "ext_order_rules": with_features("""
         SELECT store_id, product_id, date, current_stock < 2 * predicted_demand AS reorder_urgent,
                current_stock > 7 * predicted_demand AS reduce_order_25
