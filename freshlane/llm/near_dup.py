@@ -9,9 +9,10 @@ once, only the few that fall before the expected filling time are followed furth
 
 Equal texts are one node. Bands of the signature are joined; in each band bucket every node is
 compared with one centre, not with every other node (``graph.links_within_buckets``). Links are verified on
-the exact weighted Jaccard similarity. Nodes that two centres leave in different components meet in
+the exact weighted Jaccard similarity. Nodes that the rounds of centres leave in different components meet in
 blocks of a bucket, where longer signatures of one byte a place tell which pairs may reach the
-similarity (SKETCH places, 4 standard deviations off: 3 such pairs in 10**5 are missed); only those are verified.
+similarity (SKETCH places, 4 standard deviations off: 3 such pairs in 10**5 are missed); only those are verified,
+inside the block, and those that are connected already are not.
 
 Words are runs of anything but white space (U+0020, U+0009..D), as they are written. Fewer than five words
 are one shingle. A text without words, or null, has no shingles: it is alone in its class, except
@@ -35,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 26 bands of 5 places miss a pair at similarity 0.8 with probability 0.67 ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
 SKETCH, BLOCK = 1536, 256
+#: Characters of a block; a longer text is a block by itself.
+BLOCK_CHARS = 4_000_000
 MAX_REMEMBERED = 500_000
 
 _U = np.uint64
@@ -181,42 +184,65 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(texts.select("node", "text"), run, "node binary, sketch binary")
 
 
-def pairs_by_sketch(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``rest`` (key, node, root) that share a key, not a root, and may reach the similarity.
+def links_by_sketch(rest: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) that join the components of ``rest`` (key, node, root) which links inside a key join.
 
-    A bucket is cut into blocks of about BLOCK nodes by a hash; each two blocks meet in one group of bounded
-    size, which puts out only the pairs whose sketches agree enough.
+    A bucket is cut into blocks of about BLOCK nodes, or BLOCK_CHARS characters, by a hash; each two blocks meet in one
+    group of bounded size. There the pairs whose sketches agree enough are verified on their texts, unless they are
+    connected already, so that a group puts out fewer links than it has nodes.
     """
     least = similarity - 4 * np.sqrt(similarity * (1 - similarity) / SKETCH)
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    rows = (rest.select("key", "node", "root").join(sketched, "node").join(sizes, "key").withColumn("own", block)
+    long = texts.join(rest.select("node").distinct(), "node", "left_semi")
+    sketched = written(sketches(long, shingle).join(long, "node"), "sketches")
+    rows = rest.select("key", "node", "root").join(sketched, "node")
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("n"))
+    rows = (rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "sketch"))
+            .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "sketch", "text"))
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def groups(batches):
         held, at = [], None
-        for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in ("key", "lo", "hi", "own", "node", "root", "sketch")]):
-                if r[:3] != at and held:
-                    yield held
-                    held = []
-                at = r[:3]
-                held.append(r)
+        for whole in batches:
+            for b in slices(whole):
+                for r in zip(*[b.column(c).to_pylist() for c in ("key", "lo", "hi", "own", "node", "root", "sketch", "text")]):
+                    if r[:3] != at and held:
+                        yield held
+                        held = []
+                    at = r[:3]
+                    held.append(r)
         if held:
             yield held
 
+    def joined(rows, known):
+        """The links of one group, a spanning forest over its components."""
+        lo, hi, own = rows[0][1], rows[0][2], np.array([r[3] for r in rows])
+        places = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        parent = {r[5]: r[5] for r in rows}
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, r in enumerate(rows[:-1]):
+            near = (places[i + 1:] == places[i]).mean(axis=1) >= least
+            if lo != hi:
+                near &= own[i + 1:] != own[i]
+            mine = None
+            for j in i + 1 + np.flatnonzero(near):
+                if top(r[5]) != top(rows[j][5]):
+                    mine = cells(r[7], known, shingle) if mine is None else mine
+                    theirs = cells(rows[j][7], known, shingle)
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    if both and both / (len(mine) + len(theirs) - both) >= similarity:
+                        parent[top(r[5])] = top(rows[j][5])
+                        yield tuple(sorted((r[4], rows[j][4])))
+
     def run(batches):
+        known = WordHashes()
         for rows in groups(batches):
-            lo, hi, own = rows[0][1], rows[0][2], np.array([r[3] for r in rows])
-            places = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-            found = []
-            for i in range(len(rows) - 1):
-                near = (places[i + 1:] == places[i]).mean(axis=1) >= least
-                if lo != hi:
-                    near &= own[i + 1:] != own[i]
-                found += [tuple(sorted((rows[i][4], rows[j][4]))) for j in i + 1 + np.flatnonzero(near) if rows[i][5] != rows[j][5]]
+            found = list(joined(rows, known))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -228,12 +254,8 @@ def bucket_methods(docs: DataFrame, similarity: float, shingle: int):
     """What ``links_within_buckets`` needs: verification on texts, and the search among unsettled nodes."""
     def methods(members):
         texts = written(texts_of(docs, members.select("node").distinct()), "candidate-texts")
-
-        def remaining(rest):
-            own = texts.join(rest.select("node").distinct(), "node", "left_semi")
-            return written(pairs_by_sketch(rest, written(sketches(own, shingle), "sketches"), similarity), "remaining")
-
-        return lambda pairs: verified(pairs, texts, similarity, shingle), remaining
+        return (lambda pairs: verified(pairs, texts, similarity, shingle).select("a", "b"),
+                lambda rest: links_by_sketch(rest, texts, similarity, shingle))
 
     return methods
 
