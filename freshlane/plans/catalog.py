@@ -46,6 +46,7 @@ def _load_more() -> None:
     """Operator modules register their own keys on import."""
     import freshlane.plans.durable_queries
     import freshlane.plans.operator_queries
+    import freshlane.plans.request_queries
     import freshlane.plans.views  # noqa: F401
 
 

@@ -87,7 +87,7 @@ class Ctx(Retail):
 
 
 class _Models:
-    """Lazily fitted models: ``m["demand"]``, ``m["leaves"]``, ``m["waste"]``, ``m["data"]``."""
+    """Lazily fitted models: ``m["demand"]``, ``m["leaves"]``, ``m["quantiles"]``, ``m["waste"]``, ``m["data"]``."""
 
     def __init__(self, ctx: "Ctx"):
         self.ctx = ctx
@@ -117,6 +117,9 @@ class _Models:
             return self._get("demand", lambda: M.train_demand(self["train"]))
         if name == "leaves":
             return self._get("leaves", lambda: M.leaf_quantiles(self["demand"], self["train"]).checkpoint(eager=True))
+        if name == "quantiles":
+            from freshlane.operators.quantile_models import train_quantiles
+            return self._get("quantiles", lambda: train_quantiles(self["train"]))
         if name == "waste":
             return self._get("waste", lambda: M.train_waste(self["train"]))
         raise KeyError(name)

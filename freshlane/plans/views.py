@@ -214,8 +214,8 @@ def alert_levels(ctx) -> DataFrame:  # V18
     return a.select("alert_type", "severity", lvl.alias("level"), "message", "created_at")
 
 
-def catalog(ctx) -> DataFrame:  # V19
-    s = D.product_sales(ctx)
+def catalog(ctx, store_id=None) -> DataFrame:  # V19
+    s = D.product_sales(ctx, store_id)
     p = D.products_list(ctx).select("product_id", "name", "unit_price", "cost_price", "shelf_life_days",
                                     "storage_temp", "category", "perishability")
     j = p.join(s.select("product_id", "total_sold", "total_revenue", "total_wasted", "avg_daily_sold"),

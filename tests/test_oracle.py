@@ -21,6 +21,8 @@ KEYS = [
     "scan_daily_sales", "load_features", "update_with_actuals", "drift_alert_row", "site_visit_normalize",
     "daily_forecast_upsert", "upsert_predictions_whole", "record_actuals_whole", "site_visit_payload", "features_stored",
     "features_append", "stream_predictions", "stream_day_windows", "stream_visits_once",
+    "request_lists_accepted", "request_lists_refused", "requests_not_found", "requests_served", "product_sales_store",
+    "catalog_store",
 ]
 
 
@@ -39,5 +41,5 @@ def test_every_query_has_a_reason_to_lack_an_oracle():
     # training-data queries are held against brute force in tests of their own
     missing = {k for k in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline$", k)}
     ml = {"train_demand_model", "score_demand_ml", "feature_importance", "train_waste_model", "score_waste_ml",
-          "daily_forecast_ml", "retrain_cycle", "ks_exact"}
+          "daily_forecast_ml", "retrain_cycle", "ks_exact", "waste_risk_report_ml", "score_demand_quantiles"}
     assert missing <= ml, missing - ml
