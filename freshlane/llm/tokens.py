@@ -4,7 +4,9 @@ A byte-level BPE splits a text into pre-tokens and merges, inside each, the adja
 lowest rank until none is left. Here the pre-tokens of a whole Arrow batch that were not met
 before are one ragged numpy array of symbol ids. Every round looks up the rank of each adjacent
 pair, takes each sequence's lowest rank, merges all its occurrences from the left at once, and
-drops finished sequences. What survives is counted per pre-token and summed per document.
+drops finished sequences. What survives is counted per pre-token and summed per document. A pre-token of
+LONG_PIECE bytes or more (a megabyte without a space) takes the same rounds by itself, over linked arrays:
+only pairs that a merge has changed are ranked again, so its cost follows its merges, not rounds times length.
 
 Edge cases: a null or empty text has no tokens; special strings of the vocabulary inside a text
 are one token each, as the library's default has it; repeated rows give repeated rows.
@@ -13,6 +15,7 @@ are one token each, as the library's default has it; repeated rows give repeated
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -30,6 +33,8 @@ PRETOKEN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{
 MAX_REMEMBERED = 400_000
 #: Bytes of new pre-tokens merged in one numpy round.
 ROUND_BYTES = 2_000_000
+#: Bytes from which a pre-token is merged by itself, over linked arrays.
+LONG_PIECE = 4_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,9 +82,62 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.ranks[at], len(self.made))
 
+    def merge_long(self, piece: bytes) -> int:
+        """Symbols left of one piece: rounds of its lowest rank over linked arrays, ranks kept in a heap."""
+        symbols = self.bytes[np.frombuffer(piece, np.uint8)]
+        end, none = len(symbols), len(self.made)
+        after, before = np.arange(1, end + 1), np.arange(-1, end - 1)
+        rank_at = np.full(end, none, np.int64)      # rank of the pair that starts at a place, none at dead places
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def rank_again(at: np.ndarray) -> None:
+            """Rank the pairs that start at ``at`` (no place twice) and queue those that can merge."""
+            pairs = at[after[at] < end]
+            rank_at[at] = none
+            rank_at[pairs] = self._rank(symbols[pairs], symbols[after[pairs]])
+            pairs = pairs[rank_at[pairs] < none]
+            pairs = pairs[np.argsort(rank_at[pairs], kind="stable")]
+            ranks, starts = np.unique(rank_at[pairs], return_index=True)
+            for rank, places in zip(ranks.tolist(), np.split(pairs, starts[1:])):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(places)
+
+        rank_again(np.arange(end))
+        count = end
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[rank_at[at] == rank]
+            if not len(at):
+                continue
+            # As in ``merge``: of hits that overlap, every second one of a run, from the left.
+            run = np.r_[True, after[at[:-1]] != at[1:]] | (symbols[at] != symbols[after[at]])
+            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[nth % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.made[rank]
+            after[at] = after[gone]
+            rank_at[gone] = none
+            following = after[at]
+            inside = following < end
+            before[following[inside]] = at[inside]
+            count -= len(at)
+            rank_again(np.unique(np.r_[at, before[at][before[at] >= 0]]))
+        return count
+
     def merge(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of each non-empty piece."""
         left = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if (left >= LONG_PIECE).any():
+            long = np.flatnonzero(left >= LONG_PIECE)
+            short = np.flatnonzero(left < LONG_PIECE)
+            left[long] = [self.merge_long(pieces[i]) for i in long]
+            if len(short):
+                left[short] = self.merge([pieces[i] for i in short])
+            return left
         symbols = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), left)
         none = len(self.made)
