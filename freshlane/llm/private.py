@@ -33,25 +33,48 @@ NOT_TERM = r"[^\p{L}\p{N}_'-]+"
 REACH, MIN_CONTEXTS, GENERALISE, REMOVE = 64, 2, 0.9, 0.97
 #: Words of 64 bits in the term filter.
 FILTER_WORDS = 1 << 14
+#: Code points of a text that are blanked and looked around in together.
+SEGMENT = 16_384
 
 SPAN = "array<struct<start:int,k:int,end:int,kind:string,value:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, pattern: Column, kind: str, k: int) -> Column:
     """Array of (start, k, end, kind, value) of the matches of ``pattern``: what stands between matches
-    and the matches themselves have lengths whose running sums are the positions (code points)."""
+    and the matches themselves have lengths whose running sums are the positions (code points).
+
+    Sums run inside blocks of some (2 n)^(1/3) matches and over the blocks, as growing an array copies it.
+    """
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
+    def span(start, end, value):
+        return F.struct(start.cast("int").alias("start"), F.lit(k).alias("k"), end.cast("int").alias("end"),
+                        F.lit(kind).alias("kind"), value.alias("value"))
+
     def step(state, x):
-        start = (state["at"] + F.length(x["0"])).cast("int")
-        end = (start + F.length(x["1"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), F.lit(kind).alias("kind"),
-                        x["1"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        start = state["at"] + F.length(x["gap"])
+        end = (start + F.length(x["value"])).cast("int")
+        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span(start, end, x["value"]))).alias("spans"))
+
+    def before(state, block):
+        return F.struct((state["at"] + block["at"]).cast("int").alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    def placed(pairs):
+        n = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(pairs) * 2.0))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(pairs), n), lambda b: F.aggregate(F.slice(pairs, b, n), first, step))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        moved = let(blocks, lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, none, before)["starts"], lambda b, at: F.transform(
+            b["spans"], lambda s: span(s["start"] + at, s["end"] + at, s["value"])))))
+        return F.when(F.size(pairs) == 0, F.array().cast(SPAN)).otherwise(moved)
 
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)), values)
-    return F.aggregate(F.transform(pairs, lambda p: F.struct(p["0"].alias("0"), p["1"].alias("1"))), first, step)["spans"]
+    return let(F.transform(pairs, lambda p: F.struct(p["0"].alias("gap"), p["1"].alias("value"))), placed)
 
 
 def digits(value: Column) -> Column:
@@ -98,10 +121,43 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def segments(text: Column) -> Column:
+    """First code points (from 0) of the segments of a text."""
+    return F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(SEGMENT))
+
+
 def masked(text: Column, spans: Column) -> Column:
-    """The text with base spans blanked, every other character in its place."""
-    return F.aggregate(spans, text, lambda t, s: F.overlay(
-        t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+    """The text with base spans blanked, every other character in its place; segment by segment, as every
+    blanking copies what it works on."""
+    def blanked(a, part, inside):
+        def blank(t, s):
+            start = F.greatest(s["start"] - a, F.lit(0))
+            n = F.least(s["end"] - a, F.lit(SEGMENT)) - start
+            return F.overlay(t, F.repeat(F.lit(" "), n), start + 1, n)
+        return F.aggregate(inside, part, blank)
+
+    return let(F.struct(text.alias("text"), spans.alias("spans")), lambda x: F.array_join(F.transform(
+        segments(x["text"]), lambda a: blanked(a, F.substring(x["text"], a + 1, F.lit(SEGMENT)), F.filter(
+            x["spans"], lambda s: (s["start"] < a + SEGMENT) & (s["end"] > a)))), ""))
+
+
+def surroundings(text: Column, spans: Column, reach: int) -> Column:
+    """(kind, start, value, left, right) of every span: up to ``reach`` code points before and after it. They are cut
+    from the span's segment of the text, but for the right side of spans that leave it."""
+    def of_span(s, a, window, whole):
+        off, start = F.greatest(a - reach, F.lit(0)), F.greatest(s["start"] - reach, F.lit(0))
+        right = F.when(s["end"] <= a + SEGMENT, F.substring(window, s["end"] - off + 1, F.lit(reach))).otherwise(
+            F.substring(whole, s["end"] + 1, F.lit(reach)))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["value"].alias("value"),
+                        F.substring(window, start - off + 1, s["start"] - start).alias("left"), right.alias("right"))
+
+    def of_segment(x, a):
+        window = F.substring(x["text"], F.greatest(a - reach, F.lit(0)) + 1, F.least(a, F.lit(reach)) + SEGMENT + reach)
+        return let(window, lambda w: F.transform(
+            F.filter(x["spans"], lambda s: (s["start"] >= a) & (s["start"] < a + SEGMENT)), lambda s: of_span(s, a, w, x["text"])))
+
+    return let(F.struct(text.alias("text"), spans.alias("spans")), lambda x: F.flatten(F.transform(
+        segments(x["text"]), lambda a: of_segment(x, a))))
 
 
 def terms(text: Column) -> Column:
@@ -130,9 +186,9 @@ def context_terms(spotted: DataFrame, reach: int) -> DataFrame:
     """(entity, term, context): one row per term occurrence near an entity of ``spotted`` (text, spans)."""
     s = F.col("s")
     entity = F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), digits(s["value"])).otherwise(F.lower(s["value"])))
-    rows = spotted.select(masked(F.col("text"), F.col("spans")).alias("text"), F.explode("spans").alias("s"))
-    left = F.expr(f"substring(text, greatest(s.start - {reach}, 0) + 1, s.start - greatest(s.start - {reach}, 0))")
-    right = F.expr(f"substring(text, s.end + 1, {reach})")
+    around = surroundings(masked(F.col("text"), F.col("spans")), F.col("spans"), reach)
+    rows = spotted.select(F.explode(around).alias("s"))
+    left, right = s["left"], s["right"]
     # a term cut by the border of the context does not count
     whole_left = F.when(s["start"] > reach, F.regexp_replace(left, r"^[\p{L}\p{N}_'-]+", "")).otherwise(left)
     whole_right = F.when(F.length(right) == reach, F.regexp_replace(right, r"[\p{L}\p{N}_'-]++$", "")).otherwise(right)
