@@ -10,18 +10,26 @@ across partitions, so training scales with the cluster:
 * waste risk: GBTClassifier with positive-class weight neg / max(pos, 1).
 
 Every model has 300 rounds or trees, step 0.05, and takes 0.8 of rows and columns a tree.
+
+A boosted model runs one job per level and round, 1,800 in turn, so its time is that of a job times its tasks: the
+training rows are dealt to tasks by their number (``dealt``), not by the files and shuffles they come from. Models
+that do not need each other are fitted at the same time, since a round's few tasks leave cores idle.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshlane.config import FEATURE_COLUMNS
@@ -29,6 +37,11 @@ from freshlane.functions.exprs import risk_tier
 from freshlane.functions.quantiles import exact_percentiles
 
 KEYS3 = ["store_id", "product_id", "date"]
+#: Training rows of one task: a boosted round's work is small beside its tasks' start, a forest's is not (and each of its
+#: tasks shuffles the statistics of all nodes).
+BOOST_ROWS, FOREST_ROWS = 32_768, 16_384
+#: So many tasks a job are few enough for any number of rows.
+FEW_TASKS = 8
 
 
 @dataclass(frozen=True)
@@ -49,6 +62,26 @@ def assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features_vec", handleInvalid="keep")
 
 
+def dealt(train: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``train`` in as many partitions as its ``rows`` need, if it came in far more or far fewer.
+
+    Its partitions are counted, so pass a checkpointed frame.
+    """
+    have, need = train.rdd.getNumPartitions(), max(1, math.ceil(rows / per_task))
+    if math.ceil(need / FEW_TASKS) <= have <= max(FEW_TASKS, need):
+        return train
+    return train.repartition(need, *KEYS3)
+
+
+def at_once(spark: SparkSession, *builds: Callable) -> list:
+    """The results of ``builds``, run side by side on the driver's threads."""
+    pool = ThreadPool(len(builds))
+    try:
+        return pool.map(lambda run: run(), [inheritable_thread_target(spark)(b) for b in builds], chunksize=1)
+    finally:
+        pool.close()
+
+
 def train_demand(train: DataFrame, p: ModelParams | None = None) -> PipelineModel:
     """M1: GBT + RF on the same rows (target quantity_sold)."""
     p = p or ModelParams()
@@ -60,8 +93,15 @@ def train_demand(train: DataFrame, p: ModelParams | None = None) -> PipelineMode
                                featureSubsetStrategy=p.feature_subset, seed=p.seed, cacheNodeIds=True)
     tree = DecisionTreeRegressor(featuresCol="features_vec", labelCol="label", predictionCol="p_tree",
                                  leafCol="leaf", maxDepth=p.interval_depth, seed=p.seed, cacheNodeIds=True)
-    data = train.withColumn("label", F.col("quantity_sold").cast("double"))
-    return Pipeline(stages=[assembler(), gbt, rf, tree]).fit(data)
+    vectors = assembler()
+    rows = train.count()
+
+    def fit(estimator, per_task):
+        data = dealt(train, rows, per_task).withColumn("label", F.col("quantity_sold").cast("double"))
+        return lambda: estimator.fit(vectors.transform(data))
+
+    fitted = at_once(train.sparkSession, fit(gbt, BOOST_ROWS), fit(rf, FOREST_ROWS), fit(tree, FOREST_ROWS))
+    return PipelineModel([vectors, *fitted])
 
 
 def leaf_quantiles(model: PipelineModel, train: DataFrame) -> DataFrame:
@@ -88,7 +128,7 @@ def train_waste(train: DataFrame, p: ModelParams | None = None) -> PipelineModel
     bal = train.agg(F.sum("waste_label").alias("pos"), F.count(F.lit(1)).alias("n"))
     w_pos = ((bal.select("n").scalar() - bal.select("pos").scalar())
              / F.greatest(bal.select("pos").scalar(), F.lit(1)))
-    data = train.withColumn("label", F.col("waste_label").cast("double")).withColumn(
+    data = dealt(train, train.count(), BOOST_ROWS).withColumn("label", F.col("waste_label").cast("double")).withColumn(
         "w", F.when(F.col("waste_label") == 1, w_pos).otherwise(F.lit(1.0)).cast("double"))
     clf = GBTClassifier(featuresCol="features_vec", labelCol="label", weightCol="w", maxIter=p.waste_iter,
                         maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.subsample,

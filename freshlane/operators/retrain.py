@@ -122,7 +122,7 @@ def retrain(features: DataFrame, store: ModelStore, log: MonthTable, now: Column
     spark = features.sparkSession
     rows = L.add_retrain_split(L.add_waste_label(features), config).checkpoint(eager=True)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    challenger, waste = M.train_demand(train, params), M.train_waste(train, params)
+    challenger, waste = M.at_once(spark, lambda: M.train_demand(train, params), lambda: M.train_waste(train, params))
     models, held = {"new": challenger}, store.current()
     if held is not None:
         models["current"] = store.load("demand", held)

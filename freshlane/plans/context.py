@@ -99,6 +99,12 @@ class _Models:
             _FEATURE_CACHE[k] = build()
         return _FEATURE_CACHE[k]
 
+    def fitted(self, *names: str) -> list:
+        """The models of these names, fitted at the same time."""
+        from freshlane.operators.models import at_once
+        self["train"]       # written once, before the fits
+        return at_once(self.ctx.spark, *[lambda n=n: self[n] for n in names])
+
     def __getitem__(self, name: str):
         from freshlane.operators import labels as L
         from freshlane.operators import models as M

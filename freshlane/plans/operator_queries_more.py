@@ -481,8 +481,9 @@ def _daily_forecast_ml(ctx):
     f = ctx.features
     target = F.date_sub(f.agg(F.max("date").alias("d")).select("d").scalar(), 7)
     latest = A.latest_by(f.where(F.col("date") <= target), KEYS, "date")
-    d = ML.score_demand(m["demand"], m["leaves"], latest)
-    w = ML.score_waste(m["waste"], latest)
+    demand, waste = m.fitted("demand", "waste")
+    d = ML.score_demand(demand, m["leaves"], latest)
+    w = ML.score_waste(waste, latest)
     return d.join(w, KEYS3).select(*KEYS3, *[F.round(c, 2).alias(c) for c in
                                              ("predicted_demand", "confidence_lower", "confidence_upper")],
                                    F.round("waste_risk_score", 4).alias("waste_risk_score"), "waste_risk_tier")

@@ -44,7 +44,7 @@ register("requests_served", _served)
 register("product_sales_store", lambda ctx: D.product_sales(ctx, STORE))
 register("catalog_store", lambda ctx: V.catalog(ctx, STORE))
 register("waste_risk_report_ml", lambda ctx: RQ.fitted_waste_report(
-    R.waste_requests(ctx), ctx.features, ctx.ml["demand"], ctx.ml["waste"]))
+    R.waste_requests(ctx), ctx.features, *ctx.ml.fitted("demand", "waste")))
 register("score_demand_quantiles", lambda ctx: QM.score_quantiles(ctx.ml["quantiles"], ctx.ml["data"]).select(
     "store_id", "product_id", "date", round6("confidence_lower").alias("confidence_lower"),
     round6("confidence_upper").alias("confidence_upper")))

@@ -49,3 +49,23 @@ def test_saved_model_scores_alike(spark, fitted):
     assert len(M.feature_importance(model)) == 35
     waste = M.score_waste(M.train_waste(train, FEW), rows).collect()
     assert all(0 <= r.waste_risk_score <= 1 for r in waste)
+
+
+def test_rows_scattered_over_many_partitions_are_dealt_by_their_number(spark):
+    """A boosted round's tasks follow the training rows, not the partitions they came in."""
+    rows = spark.range(0, 3000, 1, 3).select(F.lit(1).alias("store_id"), F.col("id").cast("int").alias("product_id"),
+                                             F.lit("2025-01-01").cast("date").alias("date"))
+    tasks = lambda df, n=3000: M.dealt(df, n, M.BOOST_ROWS).rdd.getNumPartitions()
+    scattered = rows.repartition(60).checkpoint(eager=True)
+    assert tasks(scattered) == 1 and M.dealt(scattered, 3000, M.BOOST_ROWS).count() == 3000
+    assert tasks(rows.checkpoint(eager=True)) == 3                              # few enough: left as they are
+    assert tasks(rows.coalesce(1).checkpoint(eager=True), 40 * M.BOOST_ROWS) == 40      # too many rows for one task
+
+
+def test_models_fitted_at_once_are_those_fitted_in_turn(spark, fitted):
+    _, train, model = fitted
+    demand, waste = M.at_once(spark, lambda: M.train_demand(train, FEW), lambda: M.train_waste(train, FEW))
+    rows = train.limit(50)
+    scores = lambda d, w: (d.transform(rows.withColumn("label", F.lit(0.0))).select("p_gbt", "p_rf", "p_tree").collect(),
+                           M.score_waste(w, rows).collect())
+    assert scores(demand, waste) == scores(model, M.train_waste(train, FEW))
