@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshlane.llm.common import packed_rows, unpacked, words, written
-from freshlane.llm.quality import PUNCTUATION
+from freshlane.llm.quality import PUNCTUATION_RUN
 
 BUCKETS = 65536
 MAX_LABELLED = 20_000
@@ -46,7 +46,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def token_buckets(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A row per token of ``df`` (text): its other columns and the token's bucket (null without tokens)."""
-    spaced = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), PUNCTUATION, " $1 ")
+    spaced = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), PUNCTUATION_RUN, " $0 ")
     rest = [c for c in df.columns if c != "text"]
     df = df.select(*rest, F.explode_outer(words(spaced)).alias("__t"))
     return df.select(*rest, F.when(F.col("__t").isNotNull(), F.pmod(F.xxhash64("__t"), F.lit(buckets)).cast("int")).alias("bucket"))

@@ -16,12 +16,16 @@ it is; null label ids and null labels are ignored; repeated rows count and are j
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshlane.llm.common import words
 
-PUNCTUATION = r"([!-/:-@\[-`{-~]+)"
+#: ASCII punctuation, each character named: the regular expression engine looks them up in one table, but tries ranges in turn.
+PUNCTUATION_RUN = "[" + "".join("\\" + c for c in string.punctuation) + "]+"
+PUNCTUATION = f"({PUNCTUATION_RUN})"
 SYMBOLS = r"[#*$%&|<>]"
 WHITE = " \t\n\x0b\x0c\r"
 BUCKETS = 16384
@@ -33,7 +37,7 @@ FEW = 32
 def grams(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row per token of ``df`` (text): its other columns, and the buckets of the unigram (one) and of
     the bigram it begins (two; null at the end). A text without tokens gives one row of nulls."""
-    spaced = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), PUNCTUATION, " $1 ")
+    spaced = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), PUNCTUATION_RUN, " $0 ")
     rest = [c for c in df.columns if c != "text"]
     df = df.select(*rest, words(spaced).alias("__tokens"))
     pairs = F.arrays_zip(F.col("__tokens").alias("a"), F.slice("__tokens", F.lit(2), F.greatest(
@@ -53,12 +57,13 @@ def zipped(c: str, n: int) -> Column:
 def with_repeat_words(df: DataFrame) -> DataFrame:
     """Add n_repeat_words to ``df`` (w: words): words inside three-word windows that occur twice or more.
 
-    Windows are hashed and sorted; neighbours that are equal give the repeated hashes. The positions
+    Windows are hashed and, if any is there twice, sorted; neighbours that are equal give the repeated hashes. The positions
     of a few of those are looked up directly, those of many by sorting hashes with their positions.
     """
     df = df.withColumn("win", F.coalesce(F.transform(zipped("w", 3), lambda x: F.xxhash64(x)),
                                          F.array().cast("array<bigint>")))
-    df = df.withColumn("sorted", F.sort_array("win"))
+    df = df.withColumn("sorted", F.when(F.size(F.array_distinct("win")) < F.size("win"), F.sort_array("win"))
+                       .otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("twice", F.array_distinct(F.filter("sorted", lambda h, i: h == F.get("sorted", i + 1))))
     df = df.withColumn("byhash", F.when(F.size("twice") > FEW, F.array_sort(
         F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
